@@ -1,14 +1,53 @@
-"""Stages of the corpus pipeline: each applies one operator and acts on what it decides."""
+"""Stages of the corpus pipeline: each applies one operator and acts on what it decides.
+
+Rows are matched to decisions by doc_id. A row with a null doc_id can't be matched: it is
+kept by the filtering stages and packed as any other. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm import minhash
+from waypath.llm import exact, language, minhash, packing, quality
+from waypath.llm.shared import materialize
+
+#: Below this share of the largest rank distance a text looks like none of the languages.
+LEAST_LANGUAGE = 0.1
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``rejected``, which is written first: few rows, shuffled by id."""
+    gone = materialize(rejected.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct(), "rejected")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages; those without letters or like none of them go."""
+    found = language.languages(docs)
+    return _without(docs, found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE)))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, quality.judge(docs, labels).where("not kept"))
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
+    return _without(docs, exact.deduplicate(docs, index).where("not kept"))
 
 
 def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    found = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return _without(docs, minhash.near_duplicates(docs).where("not kept"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of the documents that are left."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
