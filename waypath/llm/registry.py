@@ -8,10 +8,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waypath.llm import exact, language, minhash, packing, quality
+from waypath.llm import exact, language, minhash, packing, quality, urls, warc
 from waypath.session import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
     return exact.deduplicate(table(spark, sf_dir, "documents"), index)
@@ -29,13 +33,17 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_quality, op6_language, op7_minhash, op10_packing)}
+    return {f.__name__: f for f in (op2_warc, op3_exact_dedup, op5_quality, op6_language, op7_minhash, op9_urls, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact.SQL}
+    return {"op2_warc": warc.SQL, "op3_exact_dedup": exact.SQL, "op9_urls": urls.SQL}
