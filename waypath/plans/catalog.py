@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list[str] = []
+MODULES: list[str] = ["windows"]
 
 
 def _all(kind: str) -> dict:
