@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from waypath.llm.shared import Words, by_steps
 
 #: Distinct words whose counts a worker remembers, in two generations.
-MEMORY = 800_000
+MEMORY = 400_000
 LONGEST = 200
 
 
