@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list[str] = ["windows", "scalars", "joins"]
+MODULES: list[str] = ["windows", "scalars", "joins", "aggregates"]
 
 
 def _all(kind: str) -> dict:

@@ -48,7 +48,7 @@ def legs(spark: SparkSession, d: str) -> DataFrame:
         F.when(~cancelled, F.col("l_quantity") - 18 + F.col("l_discount") * 100).alias("arr_delay"),
         cancelled.cast("int").alias("cancelled"),
         (F.col("l_partkey") % 43 == 0).cast("int").alias("diverted"),
-        F.round(F.col("l_extendedprice") / 40, 2).alias("distance"),
+        F.col("l_extendedprice").alias("distance"),
         F.col("l_tax").alias("wind"),
     )
 
@@ -61,7 +61,7 @@ LEGS = """legs AS (
          CASE WHEN l_partkey % 41 <> 0 THEN l_quantity - 15 END AS dep_delay,
          CASE WHEN l_partkey % 41 <> 0 THEN l_quantity - 18 + l_discount * 100 END AS arr_delay,
          CAST(l_partkey % 41 = 0 AS INTEGER) AS cancelled, CAST(l_partkey % 43 = 0 AS INTEGER) AS diverted,
-         round(l_extendedprice / 40, 2) AS distance, l_tax AS wind
+         l_extendedprice AS distance, l_tax AS wind
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey
 )"""
 
