@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypath.llm.shared import by_steps
-from waypath.llm.tokens import Pieces
+from waypath.llm.tokens import ByteBpe, of
 
 WINDOW, END_ID = 1024, 0
 #: Documents to a group; a group is packed by one task.
@@ -87,7 +87,7 @@ def cutter(tokenizer: str, window: int, end_id: int):
     """Rows of text to rows of CUTS: checksums of each full window and of the rest, in order."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat, starts = Pieces.of(tokenizer).ids(batch.column("text"))
+        flat, starts = of(ByteBpe, tokenizer).ids(batch.column("text"))
         totals, crcs = [], []
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             ids = np.append(flat[a:b], end_id).astype("<u4")

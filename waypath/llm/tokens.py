@@ -1,10 +1,7 @@
-"""Token ids of whole texts by a public byte-level BPE tokenizer, by way of its distinct pieces.
+"""Token ids of whole texts by way of their distinct pieces.
 
-A byte-level BPE splits text before a single space or line feed that stands between two
-visible characters, whatever surrounds them, and never merges across a split. So a column
-of texts is cut there, each distinct piece is given to the tokenizer once, and the ids are
-laid out again in order. Where the characters next to a space aren't plainly visible ones,
-the text is left whole there, which is slower and gives the same ids.
+A column of texts is cut where a tokenizer never merges, each distinct piece is encoded
+once, and the ids are laid out again in order.
 """
 
 from __future__ import annotations
@@ -15,76 +12,116 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces a worker remembers; beyond, it forgets all of them and goes on.
-MEMORY = 300_000
+#: Distinct pieces a worker remembers: two generations of half as many, the older one dropped when the younger is full.
+MEMORY = 400_000
 #: A longer piece (a text without spaces) isn't remembered.
 LONGEST = 200
 
 
-def _bounds(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Offsets in ``data`` (UTF-8) where pieces start; ``texts``: the texts' own bounds."""
-    ascii_ = (data > 0x20) & (data < 0x7F)
-    # the second byte of a letter from U+00C0 to U+07FF ends a visible character, its first byte starts one
-    lead = (data >= 0xC3) & (data <= 0xDF)
-    ends, begins = ascii_.copy(), ascii_ | lead
-    ends[1:] |= lead[:-1]
-    mid = (data[1:-1] == 0x20) | (data[1:-1] == 0x0A) if len(data) > 2 else np.zeros(0, bool)
-    at = np.flatnonzero(mid & ends[:-2] & begins[2:]) + 1 if len(data) > 2 else np.zeros(0, np.int64)
-    after = at[data[at] == 0x0A] + 1
-    cuts = np.concatenate((texts, at, after))
-    cuts.sort()
-    return cuts[np.concatenate(([True], cuts[1:] != cuts[:-1]))]
+def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' UTF-8 in one array, and where each starts (one more than texts); null is empty."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    _, offsets, values = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(values, np.uint8)[bounds[0] : bounds[-1]] if values else np.zeros(0, np.uint8)
+    return data, bounds - bounds[0]
 
 
 class Pieces:
-    """A tokenizer with a bounded memory of pieces; one per worker and file."""
+    """What encoders by pieces share: subclasses give ``cuts`` and ``encode``."""
 
-    _made: dict[str, "Pieces"] = {}
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    @classmethod
-    def of(cls, path: str) -> "Pieces":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def cuts(self, data: np.ndarray) -> list[np.ndarray]:
+        """Offsets in ``data`` where a piece may start, besides the starts of texts."""
+        raise NotImplementedError
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit numbers."""
+        raise NotImplementedError
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker per core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in missing:
+            x = self.old.get(pieces[i])
+            if x is None:
+                new.append(i)
+            else:
+                found[i] = self.young[pieces[i]] = x
+        for i, x in zip(new, self.encode([pieces[i] for i in new]), strict=True):
+            found[i] = x
+            if len(pieces[i]) <= LONGEST:
+                self.young[pieces[i]] = x
+        if len(self.young) > MEMORY // 2:
+            self.old, self.young = self.young, {}
+        return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's ids start (one more than texts)."""
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        if texts.offset:
-            texts = pa.concat_arrays([texts])
-        if texts.offset:  # a slice may keep its parent's buffers
-            texts = pa.array(texts.to_pylist(), pa.string())
-        _, offsets, values = texts.buffers()
-        bounds = np.frombuffer(offsets, np.int32)[: len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(values, np.uint8)[bounds[0] : bounds[-1]] if values else np.zeros(0, np.uint8)
-        bounds = bounds - bounds[0]
+        data, bounds = buffers(texts)
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        cuts = _bounds(data, bounds)
-        if cuts[-1] != len(data):
-            cuts = np.append(cuts, len(data))
-        cut = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
-        coded = cut.dictionary_encode()
-        codes, parts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        new = [x for x in parts if x not in known]
-        got = {x: np.array(e.ids, np.uint32) for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        each = [known.get(x) if x in known else got[x] for x in parts]
-        known.update((x, i) for x, i in got.items() if len(x) <= LONGEST)
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        cuts = np.concatenate((bounds, *self.cuts(data)))
+        cuts.sort()
+        cuts = cuts[np.concatenate(([True], cuts[1:] != cuts[:-1]))]
+        coded = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        codes, each = coded.indices.to_numpy(), self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) >> 2
+        flat = np.frombuffer(b"".join(each), "<u4")
         first = np.cumsum(sizes) - sizes
         n = sizes[codes]
         ends = np.cumsum(n)
         out = flat[np.repeat(first[codes] - (ends - n), n) + np.arange(ends[-1])]
-        total = np.concatenate(([0], ends))
-        return out, total[np.searchsorted(cuts, bounds)]
+        return out, np.concatenate(([0], ends))[np.searchsorted(cuts, bounds)]
+
+
+_MADE: dict[tuple[type, str], Pieces] = {}
+
+
+def of(kind: type, path: str) -> Pieces:
+    """The worker's encoder of a file, which keeps its memory from batch to batch."""
+    if (kind, path) not in _MADE:
+        _MADE[kind, path] = kind(path)
+    return _MADE[kind, path]
+
+
+class ByteBpe(Pieces):
+    """A byte-level BPE of the tokenizers library.
+
+    Its pattern starts a new part before a space or line feed between two visible characters,
+    after that line feed, and before sentence punctuation that follows a letter, whatever
+    surrounds them; parts are encoded each for themselves. Where the neighbours aren't plainly
+    visible characters, the text is left whole, which is slower and gives the same ids.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker per core
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def cuts(self, data: np.ndarray) -> list[np.ndarray]:
+        if len(data) < 3:
+            return []
+        visible = (data > 0x20) & (data < 0x7F)
+        lead = (data >= 0xC3) & (data <= 0xDF)  # of a letter from U+00C0 to U+07FF, or a sign; never white space
+        ends, begins = visible.copy(), visible | lead
+        ends[1:] |= lead[:-1]
+        feed = data[1:-1] == 0x0A
+        at = np.flatnonzero((feed | (data[1:-1] == 0x20)) & ends[:-2] & begins[2:]) + 1
+        low = data | 0x20
+        letter = (low >= 0x61) & (low <= 0x7A)
+        mark = _MARKS[data[1:]] & letter[:-1]
+        return [at, at[data[at] == 0x0A] + 1, np.flatnonzero(mark) + 1]
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+
+_MARKS = np.zeros(256, bool)
+_MARKS[list(b".,;:!?")] = True
