@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waypath.llm import exact, language, minhash, packing, quality, scoring, urls, warc, wordpiece
+from waypath.llm import exact, language, minhash, packing, quality, scoring, sentencepiece, urls, warc, wordpiece
 from waypath.session import table
 
 
@@ -41,6 +41,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm_scoring, op2_warc, op3_exact_dedup, op4_token_counts, op5_quality, op6_language, op7_minhash, op9_urls, op10_packing)
+    found = (op1_lm_scoring, op2_warc, op3_exact_dedup, op4_token_counts, op5_quality, op6_language, op7_minhash, op8_sentencepiece, op9_urls, op10_packing)
     return {f.__name__: f for f in found}
 
 
