@@ -6,8 +6,8 @@ the request, and metadata. The last two name the first in WARC-Concurrent-To. Re
 text in UTF-8, so Spark's text writer writes them, ``\\r\\n\\r\\n`` after each, gzip around.
 
 Reading: an archive is inflated and parsed as a stream, record by record by Content-Length;
-a payload may hold anything, record heads included. Archives hold about ARCHIVE_PAGES pages
-each, so a task's memory is bounded by the archive's compressed size and one record.
+a payload may hold anything, record heads included. Archives hold at most the records of
+ARCHIVE_PAGES pages, so a task's memory is bounded by one archive, compressed, and one record.
 
 Assembling: request and metadata records are reduced to one row per concurrent-to identifier
 and joined to their response by it; one nested row per capture comes out. Identifiers are
@@ -74,8 +74,7 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str, archive_pages: int = ARCHIVE_PAGES) -> None:
     """Archives of ``pages`` (page_id, url, html) below ``path``."""
-    n = max(1, -(-pages.count() // archive_pages))
-    rows = revisits(pages).repartition(n)
+    rows = revisits(pages)
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     # a page id may repeat: the record id also has the row's place, which one attempt of the writing task fixes
     base = F.concat(F.lit("urn:page:"), page, F.lit(":"), F.monotonically_increasing_id().cast("string"))
@@ -104,7 +103,7 @@ def write(pages: DataFrame, path: str, archive_pages: int = ARCHIVE_PAGES) -> No
         _record("request", rid("request"), asked, uri, to, ("Content-Type", F.lit("application/http; msgtype=request"))),
         _record("metadata", rid("metadata"), about, uri, to, ("Content-Type", F.lit("application/warc-fields"))),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    rows.select(F.explode(records).alias("value")).write.option("maxRecordsPerFile", 3 * archive_pages).option("lineSep", END).option("compression", "gzip").text(path)
 
 
 class _Stream:
