@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 16
-WINDOW = 16
+HIDDEN = 12
+WINDOW = 24
 #: Texts side by side in training and in scoring.
-LANES, SCORING_LANES = 192, 2048
+LANES, SCORING_LANES = 256, 1024
 STRETCH = 512  # tokens of a text that training takes in one go
 CLIP = 1.0
 

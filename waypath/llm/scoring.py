@@ -34,9 +34,9 @@ from waypath.llm import gru
 from waypath.llm.shared import Words, materialize, steps
 
 SHORTLIST, CLASSES = 1024, 16
-KNOWN = 300_000
+KNOWN = 200_000
 #: Twentieths of the learning documents (by a hash of the id) that each round learns from, and its step size.
-ROUNDS = ((range(1), 0.05), (range(1, 5), 0.05), (range(5, 20), 0.04))
+ROUNDS = ((range(3), 0.08), (range(3, 20), 0.06))
 #: Bytes of text that are scored or learned from side by side.
 STEP = 16 << 20
 FLUSH = 1_000_000  # distinct words that a counting task holds
@@ -52,7 +52,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return got
 
     for batch in batches:
-        for part in steps(batch, "text"):
+        for part in steps(batch, "text", STEP):
             words = Words(part.column("text"), lower=True)
             for w, n in zip(words.distinct, np.bincount(words.codes, minlength=len(words.distinct)).tolist(), strict=True):
                 sums[w] = sums.get(w, 0) + n
@@ -108,15 +108,22 @@ class Vocabulary:
             self._index = {w: i for i, w in enumerate(self.words)}
         return self._index
 
+    def kinds(self) -> np.ndarray:
+        """The id of each frequent word."""
+        if not hasattr(self, "_kinds"):
+            self._kinds = np.arange(len(self.words))
+            self._kinds[self.short :] = [self.short + self.class_of(w) for w in self.words[self.short :]]
+        return self._kinds
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_index"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_index", "_kinds")}
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per distinct word its place among the frequent words (-1: none) and its id; per text and word the id, ends put in."""
         index, short = self.index(), self.short
         place = np.fromiter((index.get(w, -1) for w in words.distinct), np.int64, len(words.distinct))
-        kind = place.copy()
-        for i in np.flatnonzero((place < 0) | (place >= short)):
+        kind = self.kinds()[place] if self.words else place.copy()
+        for i in np.flatnonzero(place < 0):
             kind[i] = short + self.class_of(words.distinct[i])
         ids = np.insert(kind[words.codes] if len(words.codes) else np.zeros(0, np.int64), words.starts[1:], self.layout.end)
         return place, kind, ids
@@ -136,10 +143,30 @@ def _classes(vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(kinds)], names=["class", "n", "kinds"])
 
 
+def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words (at most ``most``, words about as frequent as each other all or none) and their counts.
+
+    Steps of about one percent in frequency are counted first, so that only what is taken
+    comes to the driver.
+    """
+    step = F.floor(F.log2("n") * 64)
+    sizes = counts.groupBy(step.alias("step")).count().collect()  # under 4096 rows
+    taken, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["step"]
+    if least is None:
+        return [], np.zeros(0, np.int64)
+    top = counts.where(step >= least).select("word", "n").toArrow()
+    pairs = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return [w for w, _ in pairs], np.array([n for _, n in pairs], np.int64)
+
+
 def vocabulary(learning: DataFrame, counts: DataFrame) -> Vocabulary:
-    """Of the counts (word, n) of the learning documents; KNOWN rows come to the driver."""
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
-    v = Vocabulary.of([bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64), learning.count())
+    """Of the counts (word, n) of the learning documents; at most KNOWN rows come to the driver."""
+    v = Vocabulary.of(*frequent(counts, KNOWN), learning.count())
     sent = counts.sparkSession.sparkContext.broadcast(v)
     sums = counts.mapInArrow(lambda it: _classes(sent, it), "class long, n long, kinds long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toPandas()
     v.rest, v.rest_types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
