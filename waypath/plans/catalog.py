@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list[str] = ["windows", "scalars", "joins", "aggregates"]
+MODULES: list[str] = ["windows", "scalars", "joins", "aggregates", "network", "streams", "learning", "files"]
 
 
 def _all(kind: str) -> dict:

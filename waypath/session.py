@@ -35,3 +35,18 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "6g"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; the folder may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder of ``spark.checkpoint.dir`` (this machine's where that is unset)."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and own.isDefined():
+        base = own.get()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="waypath-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/waypath/{label}-{uuid.uuid4().hex}"
