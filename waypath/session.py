@@ -50,3 +50,24 @@ def scratch(spark: SparkSession, label: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="waypath-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/waypath/{label}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give this package to the executors' Python (once for an application), so that none needs it installed."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="waypath-")) / "waypath.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+        context.addPyFile(str(path))
+        _SHIPPED.add(context.applicationId)
+    return spark
