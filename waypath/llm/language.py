@@ -32,6 +32,8 @@ PROFILE = 400
 LONGEST = 3
 #: Distinct n-grams that a learning task adds up before it hands them on.
 FLUSH = 2_000_000
+#: Bytes of text taken at a time; its n-grams take about a hundred times as much memory.
+STEP = 1 << 20
 SPLITS = 64  # of a language's n-grams, when the most frequent are chosen
 
 UNKNOWN = "und"
@@ -78,7 +80,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
 
     for batch in batches:
-        for part in steps(batch, "text"):
+        for part in steps(batch, "text", STEP):
             langs = part.column("lang").to_pylist()
             codes, at = ngrams(pc.fill_null(part.column("text"), "").to_pylist())
             for lang in dict.fromkeys(langs):
@@ -144,7 +146,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return by_steps(rows, "text", judge, "doc_id long, lang_pred string, score double")
+    return by_steps(rows, "text", judge, "doc_id long, lang_pred string, score double", STEP)
 
 
 def fold(folds: int, doc_id: str = "doc_id") -> Column:

@@ -72,12 +72,12 @@ def steps(batch: pa.RecordBatch, text: str, most: int = STEP_BYTES) -> Iterator[
         at = to
 
 
-def by_steps(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+def by_steps(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, most: int = STEP_BYTES) -> DataFrame:
     """``fn`` over the rows, a bounded slice of an Arrow batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, most):
                 yield fn(part)
 
     return df.mapInArrow(run, schema)
