@@ -1,6 +1,6 @@
 """Graphs as edge tables: hops, degrees, PageRank, and shortest-path centralities.
 
-Iterations are joins on node tables. A round's result is written out (``checkpoint``) where
+Iterations are joins on node tables. A round's result is written out where
 the plan would otherwise grow with the rounds.
 """
 
@@ -9,15 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waypath.session import scratch
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, from a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="waypath-"))
-    return df.checkpoint()
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows without their lineage: written to the shared folder and read again."""
+    path = scratch(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def inbound_hops(edges: DataFrame, core: DataFrame, most: int) -> DataFrame:
@@ -44,7 +43,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     e = edges.select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("n_out"))
     shares = _cut(e.join(out, "src"))
-    nodes = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    nodes = _cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / n)) if n else nodes.withColumn("rank", F.lit(0.0))
     for i in range(rounds):
@@ -70,7 +69,7 @@ def distances(edges: DataFrame, most: int = 50) -> DataFrame:
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
-    return found
+    return _cut(found)
 
 
 def closeness(dist: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def betweenness(dist: DataFrame) -> DataFrame:
     via = a.join(b, F.col("a.dst") == F.col("b.src")).join(c, (F.col("a.src") == F.col("c.src")) & (F.col("b.dst") == F.col("c.dst")))
     via = via.where(F.col("a.hops") + F.col("b.hops") == F.col("c.hops"))
     sums = via.groupBy(F.col("a.dst").alias("node")).agg(F.sum(F.col("a.paths") * F.col("b.paths") / F.col("c.paths")).alias("s"))
-    nodes = dist.select(F.col("src").alias("node")).union(dist.select("dst")).distinct()
+    nodes = dist.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     n = nodes.count()
     pairs = max((n - 1) * (n - 2), 1)
     return nodes.join(sums, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) / pairs).alias("betweenness"))
