@@ -79,6 +79,7 @@ def by_steps(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordB
         for batch in batches:
             for part in steps(batch, text, most):
                 yield fn(part)
+            pa.default_memory_pool().release_unused()  # a worker lives on, and its executor's memory is shared
 
     return df.mapInArrow(run, schema)
 
