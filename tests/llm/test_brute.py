@@ -347,7 +347,7 @@ def test_profiles_by_hand():
 
     def decoded(c):
         n = 2 if int(c) >> 62 else 3 if int(c) >> 61 else 1
-        letters = [int(c) >> 21 * k & 0xFFFFF for k in reversed(range(n))]  # the marks of length lie above
+        letters = [int(c) >> 21 * k & 0x7FFFF for k in reversed(range(n))]  # the marks of length lie above
         return "".join(chr(x) if x else "_" for x in letters)
 
     for i, t in enumerate(texts):
