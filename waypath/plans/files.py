@@ -19,7 +19,7 @@ from waypath.sources.snapshots import Snapshots
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
-SUPPLIER = T.StructType.fromDDL("s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+SUPPLIER = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_name", T.StringType()), T.StructField("s_nationkey", T.IntegerType()), T.StructField("s_acctbal", T.DoubleType())])
 _ALL = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
 _NULLED = "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END AS s_nationkey, s_acctbal FROM supplier"
 
