@@ -31,6 +31,8 @@ from waypath.llm.tokens import ByteBpe, of
 WINDOW, END_ID = 1024, 0
 #: Documents to a group; a group is packed by one task.
 GROUP_DOCS = 8_000
+#: Bytes of text that are turned into ids at a time.
+STEP = 2 << 20
 
 CUTS = "doc_id long, no_id boolean, doc_tokens long, crcs array<long>"
 PIECES = "doc_id long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -126,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.col("text").cast("string").alias("text"))
     groups = max(1, -(-rows.count() // group_docs))
-    cuts = by_steps(rows, "text", cutter(tokenizer, window, end_id), CUTS)
+    cuts = by_steps(rows, "text", cutter(tokenizer, window, end_id), CUTS, STEP)
     dealt = cuts.withColumn("group", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.element_at("crcs", -1)), F.lit(groups)).cast("int"))
     pieces = dealt.repartition(groups, "group").groupBy("group").applyInPandas(packer(window), PIECES)
     return pieces.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

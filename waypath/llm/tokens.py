@@ -7,6 +7,8 @@ once, and the ids are laid out again in order.
 from __future__ import annotations
 
 import os
+import string
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ import pyarrow.compute as pc
 MEMORY = 400_000
 #: A longer piece (a text without spaces) isn't remembered.
 LONGEST = 200
+#: Pieces given to a tokenizer in one call.
+AT_ONCE = 2000
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +97,8 @@ class ByteBpe(Pieces):
     """A byte-level BPE of the tokenizers library.
 
     Its pattern starts a new part before a space or line feed between two visible characters,
-    after that line feed, and before sentence punctuation that follows a letter, whatever
-    surrounds them; parts are encoded each for themselves. Where the neighbours aren't plainly
+    after that line feed, and before a sign (but ' and |) that follows a letter, whatever surrounds
+    them; parts are encoded each for themselves. Where the neighbours aren't plainly
     visible characters, the text is left whole, which is slower and gives the same ids.
     """
 
@@ -104,6 +108,9 @@ class ByteBpe(Pieces):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker per core
         self.tokenizer = Tokenizer.from_file(path)
+        for t in self.tokenizer.get_added_tokens_decoder().values():
+            if any(len(c) for c in self.cuts(np.frombuffer(t.content.encode(), np.uint8))):
+                raise ValueError(f"texts may be cut inside the special token {t.content!r}")
 
     def cuts(self, data: np.ndarray) -> list[np.ndarray]:
         if len(data) < 3:
@@ -120,8 +127,11 @@ class ByteBpe(Pieces):
         return [at, at[data[at] == 0x0A] + 1, np.flatnonzero(mark) + 1]
 
     def encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(pieces), AT_ONCE):  # the library's own results take many times the ids
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces[i : i + AT_ONCE], add_special_tokens=False)]
+        return out
 
 
 _MARKS = np.zeros(256, bool)
-_MARKS[list(b".,;:!?")] = True
+_MARKS[[b for b in string.punctuation.encode() if b not in b"'|"]] = True
