@@ -325,7 +325,7 @@ def P17_stratified_split(spark, d):
     return e.select("event_id", "event_type", F.when(tables.hash_fold(100, "event_type", "event_id") < 25, "test").otherwise("train").alias("part"))
 
 
-@query("SELECT s_suppkey, 0.0 AS wind, s_acctbal FROM supplier")
+@query("SELECT s_suppkey, 0.0::DOUBLE AS wind, s_acctbal FROM supplier")
 def P18_missing_as_zero(spark, d):
     s = table(spark, d, "supplier")
     return s.select("s_suppkey", *(F.col(c) if c in s.columns else F.lit(0.0).alias(c) for c in ("wind", "s_acctbal")))

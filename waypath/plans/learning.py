@@ -234,6 +234,6 @@ def L21_permutation_importance(spark, d):
     return spark.createDataFrame(rows, "feature string, auc_drop double")
 
 
-@query("SELECT depth, rate FROM (VALUES (3), (5), (7)) a(depth), (VALUES (0.1), (0.3)) b(rate)")
+@query("SELECT depth, rate FROM (VALUES (3), (5), (7)) a(depth), (VALUES (0.1::DOUBLE), (0.3::DOUBLE)) b(rate)")
 def L22_grid(spark, d):
     return spark.createDataFrame(learning.grid(depth=[3, 5, 7], rate=[0.1, 0.3]), "depth int, rate double")

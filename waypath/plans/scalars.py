@@ -202,7 +202,7 @@ def T06_regex_replace(spark, d):
     return s.select("s_suppkey", text.tail_key(F.concat(F.lit("n-"), "s_name")).alias("tail"), text.digits(F.col("s_name")).alias("digits"), F.round(text.number(F.concat(F.lit("$"), F.col("s_acctbal").cast("decimal(12,2)").cast("string"))), 2).alias("number"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE round((event_id % 1000) * 100 * 0.3048, 1) END AS ceiling FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE round((event_id % 1000) * 100 * 0.3048::DOUBLE, 1) END AS ceiling FROM events")
 def T07_ceiling(spark, d):
     sky = F.when(F.col("event_id") % 4 == 0, "CLR").otherwise(F.concat(F.lit("OVC"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0")))
     return _events(spark, d).select("event_id", text.ceiling_m(sky).alias("ceiling"))
