@@ -30,6 +30,7 @@ from waypath.llm.tokens import Pieces, of
 
 MARK = "▁"
 FALLBACK = 10.0  # below the lowest score of a piece
+UNSCORED = -1e8  # a model gives pieces outside its ranking (runs of spaces) a score below this
 
 
 class Automaton:
@@ -91,7 +92,7 @@ class Vocabulary(Pieces):
             raise ValueError("the vocabulary lacks byte pieces")
         self.pieces, self.byte_ids = pieces, byte_ids
         self.automaton = Automaton(pieces)
-        self.lowest = min((s for _, s in pieces.values()), default=0.0) - FALLBACK
+        self.lowest = min((s for _, s in pieces.values() if s > UNSCORED), default=0.0) - FALLBACK
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.fallback = np.zeros(len(self.table), bool)
