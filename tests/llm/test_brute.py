@@ -433,3 +433,10 @@ def test_pipeline_against_plain_versions(spark):
     assert texts[3].keys() == {i for _, i in best.values()}
     assert texts[4].keys() == {i for i, c in linked(texts[3]).items() if i == c}
     assert {r.doc_id for r in tables[5].collect()} == texts[4].keys()
+
+
+def test_rounds_go_on_until_no_likely_pair_is_left(spark, families, monkeypatch):
+    """With one try a round, links that lie behind many failing pairs are found too."""
+    monkeypatch.setattr(minhash, "TRIES", 1)
+    docs = spark.createDataFrame(list(families.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == linked(families)
