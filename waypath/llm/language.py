@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waypath.llm.shared import by_steps, steps
+from waypath.llm.shared import by_steps, end_task, small_batches, steps
 
 #: N-grams to a profile and to a document's list.
 PROFILE = 400
@@ -94,10 +94,12 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(len(g) for g, _ in sums.values()) > FLUSH:
             yield from out()
     yield from out()
+    end_task()
 
 
 def profiles(learning: DataFrame, size: int = PROFILE) -> DataFrame:
     """(lang, gram, rank) of the rows (text, lang); rows without text or lang teach nothing."""
+    small_batches(learning.sparkSession)
     counts = learning.where("lang is not null and text is not null").select("text", "lang").mapInArrow(_learn, "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.asc("gram")]

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waypath.llm.shared import Words, by_steps, runs, steps
+from waypath.llm.shared import Words, by_steps, runs, small_batches, steps
 
 BUCKETS = 1 << 16
 GRAM = 4  # bytes
@@ -80,6 +80,7 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 
 def weights(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log(target / raw) of each bucket; BUCKETS rows come to the driver."""
+    small_batches(docs.sparkSession)
     mark = F.broadcast(trusted.select("doc_id", F.lit(True).alias("trusted")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(mark, "doc_id", "left")
     rows = rows.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))

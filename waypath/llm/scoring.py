@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypath.llm import gru
-from waypath.llm.shared import Words, materialize, steps
+from waypath.llm.shared import Words, end_task, materialize, steps
 
 SHORTLIST, CLASSES = 1024, 16
 KNOWN = 200_000
@@ -265,6 +265,7 @@ def scored(docs: DataFrame, v: Vocabulary, weights: np.ndarray) -> DataFrame:
                     [some.column("doc_id"), pa.array(np.diff(starts)), pa.array(add(known.astype(np.int64)) + (1 if v.ends else 0)), pa.array(add(base) + end_base), pa.array(out), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), rare)],
                     names=["doc_id", "n_tokens", "n_known", "base", "score", "rare"],
                 )
+        end_task()
 
     return docs.mapInArrow(score, SCORED)
 

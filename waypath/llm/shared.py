@@ -7,6 +7,8 @@ machine is used, and set for the session.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 
 #: Text that one step of a Python operator handles at a time, in bytes; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,14 +75,41 @@ def steps(batch: pa.RecordBatch, text: str, most: int = STEP_BYTES) -> Iterator[
         at = to
 
 
+#: What a worker calls at the end of a task to drop what it remembers from batch to batch.
+FORGET: list[Callable[[], None]] = []
+
+
+def end_task() -> None:
+    """Give memory back: a Python worker lives on for other tasks, and shares its executor's memory."""
+    for forget in FORGET:
+        forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can do so
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches to Python hold no more than BATCH_BYTES, where the session allows more: rows may be
+    texts of any length, and both sides of the pipe keep a whole batch."""
+    now = spark.conf.get(BATCH, None)
+    size = int(now) if now and now.lstrip("-").isdigit() else -1
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def by_steps(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, most: int = STEP_BYTES) -> DataFrame:
     """``fn`` over the rows, a bounded slice of an Arrow batch at a time."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, text, most):
                 yield fn(part)
-            pa.default_memory_pool().release_unused()  # a worker lives on, and its executor's memory is shared
+        end_task()
 
     return df.mapInArrow(run, schema)
 

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from waypath.llm.shared import FORGET
+
 #: Distinct pieces a worker remembers: two generations of half as many, the older one dropped when the younger is full.
 MEMORY = 400_000
 #: A longer piece (a text without spaces) isn't remembered.
@@ -86,8 +88,16 @@ class Pieces:
 _MADE: dict[tuple[type, str], Pieces] = {}
 
 
+def _forget() -> None:
+    for made in _MADE.values():
+        made.young, made.old = {}, {}
+
+
+FORGET.append(_forget)
+
+
 def of(kind: type, path: str) -> Pieces:
-    """The worker's encoder of a file, which keeps its memory from batch to batch."""
+    """The worker's encoder of a file, which keeps its memory from batch to batch of a task."""
     if (kind, path) not in _MADE:
         _MADE[kind, path] = kind(path)
     return _MADE[kind, path]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waypath.llm.shared import Words, by_steps
+from waypath.llm.shared import FORGET, Words, by_steps
 
 #: Distinct words whose counts a worker remembers, in two generations.
 MEMORY = 400_000
@@ -126,6 +126,14 @@ class Counter:
         return out
 
 
+def _forget() -> None:
+    for made in Counter._made.values():
+        made.young, made.old = {}, {}
+
+
+FORGET.append(_forget)
+
+
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown (long) of each row of ``docs`` (doc_id, text)."""
 
