@@ -440,3 +440,25 @@ def test_rounds_go_on_until_no_likely_pair_is_left(spark, families, monkeypatch)
     monkeypatch.setattr(minhash, "TRIES", 1)
     docs = spark.createDataFrame(list(families.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == linked(families)
+
+
+def test_a_short_pair_amid_longer_texts_that_contain_it(spark):
+    """Sizes exclude every link with the smallest and largest ids of the pair's buckets."""
+    rng, x = random.Random(0), [f"x{i}" for i in range(250)]
+    y = [f"y{i}" if i % 41 == 5 else w for i, w in enumerate(x)]
+    texts = {i: " ".join([*x, *(f"t{rng.randrange(10**9)}" for _ in range(150))]) for i in range(400)}
+    texts[200], texts[207] = " ".join(x), " ".join(y)
+    assert 100 * len(shingles(texts[200]) & shingles(texts[207])) >= 75 * len(shingles(texts[200]) | shingles(texts[207]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {i: i for i in texts} | {207: 200}
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_leaves_unlike_the_ends_of_their_bucket_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    texts = {k: rng.integers(0, 256, minhash.BINS).astype(np.uint8).tobytes() for k in "abcd"}
+    rows = [(0, "a"), (5, "b"), (6, "c"), (7, "d"), (11, "c"), (12, "b"), (13, "d"), (99, "a")]
+    found = minhash.NearDuplicates.__new__(minhash.NearDuplicates)
+    found.spark, found.reps = spark, spark.createDataFrame([(i, 100, texts[k], [1, 2, 10 + i]) for i, k in rows], "id long, n long, sketch binary, bands array<long>")
+    assert {(r.a, r.b) for r in found.candidates().collect()} == {(0, 99), (5, 12), (6, 11), (7, 13)}
