@@ -220,6 +220,19 @@ def test_state_is_carried_over_windows():
         gru.WINDOW = old
 
 
+def test_training_carries_the_state_over_stretches(monkeypatch):
+    """What is learned doesn't hang on where stretches end, if windows end there too."""
+    v = scoring.Vocabulary.of([b"a", b"b"], np.array([3, 2]), 1)
+    ids, starts = np.array([0, 1, 1, 0, 1] * 30), np.array([0, 150])
+    learned = []
+    for stretch in (gru.WINDOW * 2, 10**6):
+        monkeypatch.setattr(gru, "STRETCH", stretch)
+        net = gru.Net(v.layout, gru.initial(v.layout, np.ones(v.layout.ids - 1)))
+        net.train(ids, starts, 0.05, gru.memory(v.layout))
+        learned.append(gru.flat(net.p))
+    assert learned[0] == pytest.approx(learned[1], abs=1e-6)
+
+
 # word pieces
 
 

@@ -15,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 12
+HIDDEN = 16
 WINDOW = 24
 #: Texts side by side in training and in scoring.
 LANES, SCORING_LANES = 256, 1024
-STRETCH = 512  # tokens of a text that training takes in one go
+STRETCH = 512  # tokens of each text that training takes before it goes on with the next ones of the same texts
 CLIP = 1.0
 
 
@@ -189,14 +189,17 @@ class Net:
     @staticmethod
     def _windows(starts: np.ndarray, rows: np.ndarray, ids: np.ndarray, begin: int, window: int):
         """(inputs, targets) of each window of the texts ``rows`` (longest first), step by step."""
-        length = (starts[1:] - starts[:-1])[rows]
-        at = starts[:-1][rows]
+        return Net._steps(starts[:-1][rows], (starts[1:] - starts[:-1])[rows], ids, np.full(len(rows), begin), window)
+
+    @staticmethod
+    def _steps(at: np.ndarray, length: np.ndarray, ids: np.ndarray, begin: np.ndarray, window: int):
+        """The same of the tokens from ``at`` on, where ``begin`` is read before each first one."""
         for t0 in range(0, int(length[0]), window):
             xs, ys = [], []
             for t in range(t0, min(t0 + window, int(length[0]))):
                 n = int(np.searchsorted(-length, -t, side="left"))  # texts longer than t
                 ys.append(ids[at[:n] + t])
-                xs.append(ids[at[:n] + t - 1] if t else np.full(n, begin))
+                xs.append(ids[at[:n] + t - 1] if t else begin[:n])
             yield xs, ys
 
     def scores(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -218,32 +221,38 @@ class Net:
     def train(self, ids: np.ndarray, starts: np.ndarray, rate: float, memory: dict[str, np.ndarray]) -> None:
         """One pass of truncated backpropagation with per-weight step sizes (Adagrad).
 
-        Texts are cut into stretches first, which keeps lanes full; each starts without a state.
+        Texts are read a stretch at a time, which keeps lanes full; the state at its end begins the next.
         """
-        more = -(-np.diff(starts) // STRETCH)
-        nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-        starts = np.append(np.repeat(starts[:-1], more) + nth * STRETCH, starts[-1])
-        order = np.argsort(starts[:-1] - starts[1:], kind="stable")
-        for i in range(0, len(order), LANES):
-            rows = order[i : i + LANES]
-            h = np.zeros((len(rows), self.p["u"].shape[0]), np.float32)
-            for xs, ys in self._windows(starts, rows, ids, self.at.start, WINDOW):
-                s, saved = self._forward(xs, h)
-                targets = np.concatenate(ys)
-                _, grads, ds = self._outputs(s, targets, True)
-                self._backward(xs, saved, ds, grads)
-                scale = np.float32(1 / len(targets))
-                for k in SHAPES:
-                    w, m = self.p[k], memory[k]
-                    if k == "x":
-                        at, g = grads[k]
-                        g = np.clip(g * scale, -CLIP, CLIP)
-                        m[at] += g * g
-                        w[at] -= rate * g / np.sqrt(m[at])
-                    else:
-                        g = np.clip(grads[k] * scale, -CLIP, CLIP)
-                        m += g * g
-                        w -= rate * g / np.sqrt(m)
+        lengths = np.diff(starts)
+        state = np.zeros((len(lengths), self.p["u"].shape[0]), np.float32)
+        for done in range(0, int(lengths.max(initial=0)), STRETCH):
+            left = np.clip(lengths - done, 0, STRETCH)
+            order = np.argsort(-left, kind="stable")[: int((left > 0).sum())]
+            for i in range(0, len(order), LANES):
+                rows = order[i : i + LANES]
+                at, h = starts[:-1][rows] + done, state[rows]
+                self._learn(self._steps(at, left[rows], ids, ids[at - 1] if done else np.full(len(rows), self.at.start), WINDOW), h, rate, memory)
+                state[rows] = h
+
+    def _learn(self, windows, h: np.ndarray, rate: float, memory: dict[str, np.ndarray]) -> None:
+        """A step of the weights for each window; ``h`` goes on."""
+        for xs, ys in windows:
+            s, saved = self._forward(xs, h)
+            targets = np.concatenate(ys)
+            _, grads, ds = self._outputs(s, targets, True)
+            self._backward(xs, saved, ds, grads)
+            scale = np.float32(1 / len(targets))
+            for k in SHAPES:
+                w, m = self.p[k], memory[k]
+                if k == "x":
+                    at, g = grads[k]
+                    g = np.clip(g * scale, -CLIP, CLIP)
+                    m[at] += g * g
+                    w[at] -= rate * g / np.sqrt(m[at])
+                else:
+                    g = np.clip(grads[k] * scale, -CLIP, CLIP)
+                    m += g * g
+                    w -= rate * g / np.sqrt(m)
 
 
 def memory(at: Layout, start: float = 1e-4) -> dict[str, np.ndarray]:
