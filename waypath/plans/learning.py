@@ -107,7 +107,7 @@ def L06_batch_predict(spark, d):
 def L07_grid_search(spark, d):
     x = frame(spark, d)
     years = [r[0] for r in x.select("year").distinct().orderBy("year").collect()]
-    folds = list(learning.expanding(years, 4))[:2]
+    folds = list(learning.expanding(years, 4))
     build = lambda c: learning.pipeline(NUMERIC, [], LogisticRegression(labelCol="label", maxIter=5, regParam=c["reg"]))
     return spark.createDataFrame(learning.search(x, "year", folds, learning.grid(reg=[0.0, 0.1]), build, "label"))
 
@@ -230,7 +230,7 @@ def L20_tree_comparison(spark, d):
 def L21_permutation_importance(spark, d):
     model, test = _fit(spark, d, LogisticRegression(labelCol="label", maxIter=5), categories=())
     whole = learning.evaluated(model, test, "label")["auc"]
-    rows = [(c, whole - sum(learning.permuted(model, test, "label", c, KEY, i) for i in range(2)) / 2) for c in ("prev1_arr_delay", "wind")]
+    rows = [(c, whole - sum(learning.permuted(model, test, "label", c, KEY, i) for i in range(5)) / 5) for c in NUMERIC]
     return spark.createDataFrame(rows, "feature string, auc_drop double")
 
 
