@@ -1,13 +1,15 @@
 """Flight semantics on rows written by hand."""
 
+import random
 from datetime import datetime as dt
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from waypath.functions import buckets, clock, text
-from waypath.operators import learning, metrics, network, rotation, tables
-from waypath.operators.asof import asof_join, asof_join_bucketed
+from waypath.operators import features, learning, metrics, network, rotation, tables
+from waypath.operators.asof import asof_join
 
 
 def one(spark, column, **values):
@@ -37,9 +39,21 @@ def test_asof_takes_the_latest_within_tolerance(flights, weather):
     assert got.columns == ["leg_id", "station", "dep", "dep_valid_ts", "dep_temp"]
 
 
-def test_asof_by_buckets_is_the_same(flights, weather):
-    got = asof_join_bucketed(flights, weather, ["station"], "dep", "valid_ts", ["temp"], 120)
-    assert {r.leg_id: r.temp for r in got.collect()} == ASOF
+def test_asof_plan_has_no_window_on_a_bare_key(flights, weather):
+    plan = asof_join(flights, weather, ["station"], "dep", "valid_ts", ["temp"], "2 hours")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[station#" in plan and all("_b#" in line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Window"))
+
+
+def test_asof_equals_a_search_over_all_rows(spark):
+    rng = random.Random(6)
+    at = lambda: dt(2024, 1, 1) + timedelta(seconds=rng.randrange(0, 40000))
+    left, right = [(i, rng.choice("ab"), at()) for i in range(200)], [(rng.choice("ab"), at(), float(i)) for i in range(60)]
+    l, r = spark.createDataFrame(left, "leg_id long, k string, t timestamp_ntz"), spark.createDataFrame(right, "k string, s timestamp_ntz, v double")
+    for direction, sign in (("backward", 1), ("forward", -1)):
+        gap = lambda x, y: (x - y).total_seconds() * sign  # noqa: E731, B023
+        want = {i: max((((-gap(t, s)), v) for k2, s, v in right if k2 == k and 0 <= gap(t, s) <= 1800), default=(0, None))[1] for i, k, t in left}
+        got = {x.leg_id: x.v for x in asof_join(l, r, ["k"], "t", "s", ["v"], "30 minutes", direction=direction).collect()}
+        assert got == want
 
 
 def test_asof_forward(flights, weather):
@@ -161,3 +175,71 @@ def test_expanding_folds_never_see_the_future():
 def test_two_hop_filter(spark):
     df = network.edge_table(spark, [("x", "core"), ("y", "x"), ("core", "x"), ("z", "y")]).toDF("origin", "dest")
     assert {tuple(r) for r in tables.two_hop_inbound(df, ["core"]).collect()} == {("x", "core"), ("y", "x")}
+
+
+def test_distances_have_no_cap_on_length(spark):
+    n = 60
+    dist = network.distances(network.edge_table(spark, [(f"{i:02}", f"{i + 1:02}") for i in range(n)]))
+    assert dist.count() == n * (n + 1) // 2 and dist.agg(F.max("hops")).first()[0] == n
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=301), np.repeat([1.0, 2.0, 1e12], [5, 3, 2]), rng.integers(-5, 5, 40).astype(float), np.array([7.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        for parts in (4, 1000):
+            assert tables.quantiles(df, "x", [0.0, 0.1, 0.5, 0.99, 1.0], parts) == pytest.approx(list(np.quantile(x, [0.0, 0.1, 0.5, 0.99, 1.0])))
+    assert tables.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
+
+
+def test_strata_are_split_exactly(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, i) for i in range(200)], "k string, i long")
+    got = tables.stratified(df, "k", "i", 25).groupBy("k", "part").count().collect()
+    sizes = {None: 67, "a": 133}
+    assert {(r.k, r.part): r["count"] for r in got} == {(k, p): (n * 25 // 100 if p == "test" else n - n * 25 // 100) for k, n in sizes.items() for p in ("test", "train")}
+
+
+def test_correlations_of_complete_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 5.0), (9.0, None)], "a double, b double")
+    got = {(r.a, r.b): r.r for r in tables.correlations(df, ["a", "b"]).collect()}
+    assert got[("a", "a")] == pytest.approx(1) and got[("a", "b")] == got[("b", "a")] == pytest.approx(0.9819805)
+
+
+def test_feature_sets_have_their_sizes():
+    assert {n: len(s) for n, s in features.SETS.items()} == {"schedule": 9, "context": 20, "2hop_propagation": 30, "2hop_delay_only": 19, "aircraft_state": 19, "ops_full": 43, "full": 33, "full_aircraft": 37}
+    assert all(len(set(s)) == len(s) for s in features.SETS.values()) and len(features.STEP) == 29
+
+
+def test_permutation_drops_only_what_matters(spark):
+    """A label that is one feature's sign: that feature's importance is large, the other's none."""
+    from pyspark.ml.classification import LogisticRegression
+
+    df = spark.createDataFrame([(i, float(i % 2) * 2 - 1, float(i * 7 % 11), i % 2) for i in range(200)], "i long, x double, z double, label int")
+    model = learning.pipeline(["x", "z"], [], LogisticRegression(labelCol="label", maxIter=10)).fit(df)
+    assert learning.evaluated(model, df, "label")["auc"] == 1
+    assert learning.permuted(model, df, "label", "x", ["i"], 0) < 0.7 and learning.permuted(model, df, "label", "z", ["i"], 0) > 0.99
+
+
+def test_known_coefficients_are_found(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    df = spark.createDataFrame([(float(i % 13), float(i * 5 % 17), 3.0 * (i % 13) - 2.0 * (i * 5 % 17) + 1) for i in range(300)], "x double, z double, y double")
+    fitted = learning.pipeline(["x", "z"], [], LinearRegression(labelCol="y")).fit(df).stages[-1]
+    assert list(fitted.coefficients) == pytest.approx([3, -2]) and fitted.intercept == pytest.approx(1)
+
+
+def test_balanced_weights_sum_alike(spark):
+    df = spark.createDataFrame([(1,)] * 3 + [(0,)] * 9, "label int")
+    got = {r.label: (r.s, r.n) for r in learning.balanced(df, "label", "w").groupBy("label").agg(F.sum("w").alias("s"), F.count("*").alias("n")).collect()}
+    assert got[0][0] == pytest.approx(6) and got[1][0] == pytest.approx(6)
+
+
+def test_search_ranks_by_mean_over_folds(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    df = spark.createDataFrame([(y, float(i % 2), i % 2) for y in range(4) for i in range(20)], "year int, x double, label int")
+    build = lambda c: learning.pipeline(["x"], [], LogisticRegression(labelCol="label", maxIter=c["n"]))
+    got = learning.search(df, "year", list(learning.expanding([0, 1, 2, 3], 2)), learning.grid(n=[0, 5]), build, "label")
+    assert [g["n"] for g in got] == [5, 0] and got[0]["auc"] == 1 and got[1]["auc"] == 0.5

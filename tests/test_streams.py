@@ -46,3 +46,25 @@ def test_duplicates_are_taken_once(spark):
     spark.createDataFrame([(1, dt(2024, 1, 1)), (1, dt(2024, 1, 1)), (2, dt(2024, 1, 1))], "id long, at timestamp").write.parquet(path)
     s = spark.readStream.schema("id long, at timestamp").parquet(path).withWatermark("at", "1 hour").dropDuplicatesWithinWatermark(["id"])
     assert run.finished(s, "dup").agg(F.count("*")).first()[0] == 2
+
+
+def _files(spark, n):
+    path = scratch(spark, "many")
+    for i in range(n):
+        spark.createDataFrame([(i, j) for j in range(5)], "f long, j long").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("f long, j long").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_a_stream_ends_by_rows_by_time_or_when_read(spark):
+    stream = _files(spark, 4)
+    rows, why = run.flushed(stream, "f", 2)
+    assert why == "read" and rows.count() == 20 and len(rows.inputFiles()) >= 12
+    rows, why = run.flushed(stream, "f", 100, most=8)
+    assert why == "records" and rows.count() == 10  # whole batches
+    rows, why = run.flushed(stream, "f", 100, seconds=0)
+    assert why == "time" and rows.count() == 5
+
+
+def test_counters_cover_every_batch(spark):
+    rows, totals = run.counted(_files(spark, 3), "c", n=F.count("*"), twos=F.count_if(F.col("j") == 2))
+    assert rows.count() == 15 and tuple(totals.first()) == (15, 3)

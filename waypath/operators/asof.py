@@ -7,17 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, take: list[str], tolerance: str, prefix: str = "", direction: str = "backward") -> DataFrame:
     """``left`` with ``take`` columns and the time of the matched right row, named ``prefix`` + name.
 
-    One shuffle: both sides are put together and each left row takes the last right row before
-    it (``forward``: the first after it), equal times included. Left rows without a key or
-    time are set aside first, keep nulls and so form no hot partition. Of right rows with equal
-    key and time, the one with the largest values of ``take`` wins.
+    ``tolerance`` is a number and a unit, as in ``2 hours``. Time is cut into buckets as long as it: a left
+    row's match lies in its own bucket or the one before (``forward``: after), so a right row goes to two
+    buckets, and a key with a large share of all rows is spread over its time. One shuffle: both sides are
+    put together, and in each key and bucket a left row takes the last right row before it (``forward``:
+    the first after it), equal times included. Left rows without a key or time are set aside first and
+    keep nulls. Of right rows with equal key and time, the one with the largest values of ``take`` wins.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(direction)
     back = direction == "backward"
+    number, unit = tolerance.split()
+    width = float(number) * SECONDS[unit.rstrip("s")]
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width * 1e6))
     whole = [F.col(k).isNotNull() for k in (*by, left_on)]
     can = whole[0]
     for c in whole[1:]:
@@ -25,10 +33,12 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     payload = F.struct(F.col(right_on).alias("_at"), *take)
     kind = right.select(payload.alias("_p")).schema["_p"].dataType
     row = F.struct(*left.columns)
-    rows = left.where(can).select(*by, F.col(left_on).alias("_ts"), F.lit(1 if back else 0).alias("_side"), row.alias("_row"), F.lit(None).cast(kind).alias("_p"))
+    rows = left.where(can).select(*by, bucket(left_on).alias("_b"), F.col(left_on).alias("_ts"), F.lit(1 if back else 0).alias("_side"), row.alias("_row"), F.lit(None).cast(kind).alias("_p"))
     row_kind = rows.schema["_row"].dataType
-    seen = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("_ts"), F.lit(0 if back else 1).alias("_side"), F.lit(None).cast(row_kind).alias("_row"), payload.alias("_p"))
-    order = W.partitionBy(*by).orderBy("_ts", "_side", "_p")
+    own = bucket(right_on)
+    buckets = F.explode(F.array(own, own + (1 if back else -1)))
+    seen = right.where(F.col(right_on).isNotNull()).select(*by, buckets.alias("_b"), F.col(right_on).alias("_ts"), F.lit(0 if back else 1).alias("_side"), F.lit(None).cast(row_kind).alias("_row"), payload.alias("_p"))
+    order = W.partitionBy(*by, "_b").orderBy("_ts", "_side", "_p")
     frame = order.rowsBetween(W.unboundedPreceding, 0) if back else order.rowsBetween(0, W.unboundedFollowing)
     pick = F.last("_p", ignorenulls=True) if back else F.first("_p", ignorenulls=True)
     both = rows.unionByName(seen).withColumn("_m", pick.over(frame)).where("_row is not null")
@@ -38,18 +48,3 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     matched = both.withColumn("_m", match).select("_row.*", *(F.col(f"_m.{f}").alias(prefix + n) for n, f in names.items()))
     alone = left.where(~can)
     return matched.unionByName(alone.select("*", *(F.lit(None).cast(matched.schema[prefix + n].dataType).alias(prefix + n) for n in names)))
-
-
-def asof_join_bucketed(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, take: list[str], minutes: int, prefix: str = "") -> DataFrame:
-    """The backward join for keys that hold a large share of all rows: time is cut into buckets
-    of the tolerance, so that a hot key is spread over its buckets. ``left`` must have a column
-    ``leg_id`` that is unique."""
-    width = minutes * 60
-    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / width)
-    seen = right.select(*by, F.struct(F.col(right_on).alias("_at"), *take).alias("_p"), F.explode(F.array(bucket(right_on), bucket(right_on) + 1)).alias("_b"))
-    keyed = left.withColumn("_b", bucket(left_on))
-    near = keyed.select("leg_id", *by, "_b", F.col(left_on).alias("_ts")).join(seen, [*by, "_b"])
-    gap = F.col("_ts") - F.col("_p._at")
-    best = near.where((gap >= F.expr("interval 0 minute")) & (gap <= F.expr(f"interval {minutes} minute"))).groupBy("leg_id").agg(F.max("_p").alias("_m"))
-    out = left.join(best, "leg_id", "left")
-    return out.select(*left.columns, F.col("_m._at").alias(prefix + right_on), *(F.col(f"_m.{c}").alias(prefix + c) for c in take))

@@ -14,12 +14,6 @@ from pyspark.sql import functions as F
 
 from waypath.operators import metrics
 
-SCHEDULE = ("dep_hour", "weekday", "month", "distance")
-CONTEXT = (*SCHEDULE, "wind", "origin_n", "dest_n")
-TWO_HOP = (*CONTEXT, "prev1_arr_delay", "prev2_arr_delay", "turnaround")
-#: Feature sets, each wider than the one before.
-FEATURE_SETS = {"schedule": SCHEDULE, "context": CONTEXT, "two_hop": TWO_HOP, "delays_only": ("prev1_arr_delay", "prev2_arr_delay", "prev1_dep_delay", "prev2_dep_delay")}
-
 
 @dataclass(frozen=True)
 class Fold:
@@ -85,3 +79,10 @@ def permuted(model: Model, test: DataFrame, label: str, column: str, key: list[s
     a, b = rows.withColumn("_r", place(2 * repeat)), rows.withColumn("_r", place(2 * repeat + 1)).select("_b", "_r", F.col(column).alias("_v"))
     shuffled = a.join(b, ["_b", "_r"]).withColumn(column, F.col("_v")).drop("_b", "_r", "_v")
     return metrics.auc(scored(model, shuffled), label, "score").first()[0]
+
+
+def balanced(df: DataFrame, label: str, weight: str) -> DataFrame:
+    """``df`` with a weight that makes every class count alike: all rows over classes times the class's rows."""
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    n = sizes.agg(F.sum("_n"), F.count("*")).first()
+    return df.join(F.broadcast(sizes), label).withColumn(weight, F.lit(n[0] / n[1]) / F.col("_n")).drop("_n")  # a row for each class

@@ -6,17 +6,16 @@ the plan would otherwise grow with the rounds.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.session import scratch
+from waypath.session import cut
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage: written to the shared folder and read again."""
-    path = scratch(df.sparkSession, "graph")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, "graph")
 
 
 def inbound_hops(edges: DataFrame, core: DataFrame, most: int) -> DataFrame:
@@ -47,22 +46,22 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / n)) if n else nodes.withColumn("rank", F.lit(0.0))
     for i in range(rounds):
-        sent = shares.join(rank, shares["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
+        sent = _cut(shares.join(rank, shares["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got")))
         lost = 1 - (sent.agg(F.sum("got")).first()[0] or 0.0)
         rank = nodes.join(sent, "node", "left").select("node", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         rank = _cut(rank)
     return rank
 
 
-def distances(edges: DataFrame, most: int = 50) -> DataFrame:
+def distances(edges: DataFrame) -> DataFrame:
     """(src, dst, hops, paths) of all pairs of nodes with a path: fewest edges and number of such paths.
 
-    For small graphs (places, not legs): pairs are the square of nodes.
+    Goes on until no pair is new. For small graphs (places, not legs): pairs are the square of nodes.
     """
     e = _cut(edges.where("src <> dst").select("src", "dst").distinct())
     found = e.select("src", "dst", F.lit(1).alias("hops"), F.lit(1.0).alias("paths"))
     frontier = found
-    for hops in range(2, most + 1):
+    for hops in count(2):
         nxt = frontier.alias("f").join(e.alias("e"), F.col("f.dst") == F.col("e.src")).where(F.col("f.src") != F.col("e.dst"))
         nxt = nxt.groupBy(F.col("f.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.sum("f.paths").alias("paths"))
         frontier = _cut(nxt.join(found, ["src", "dst"], "left_anti").select("src", "dst", F.lit(hops).alias("hops"), "paths"))

@@ -309,9 +309,14 @@ def A42_confusion(spark, d):
     return x.agg(F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"), F.count_if(~p & ~a).alias("tn"))
 
 
-@query("SELECT round(corr(l_quantity, l_extendedprice), 4) AS qp, round(corr(l_quantity, l_discount), 4) AS qd, round(corr(l_extendedprice, l_tax), 4) AS pt FROM lineitem")
+_MEASURES = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(f"""WITH x AS (SELECT * FROM lineitem WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _MEASURES)})
+{" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM x" for a in _MEASURES for b in _MEASURES)}""")
 def A43_correlation(spark, d):
-    return table(spark, d, "lineitem").agg(r4(F.corr("l_quantity", "l_extendedprice"), "qp"), r4(F.corr("l_quantity", "l_discount"), "qd"), r4(F.corr("l_extendedprice", "l_tax"), "pt"))
+    """The matrix of all numeric measures over rows that lack none, in one pass."""
+    return tables.correlations(table(spark, d, "lineitem"), list(_MEASURES)).select("a", "b", F.round("r", 4).alias("r"))
 
 
 @query("SELECT CASE WHEN user_id % 10 = 0 THEN NULL ELSE event_type END AS kind, count(*) AS n FROM events GROUP BY 1")
@@ -322,8 +327,9 @@ def A44_value_counts(spark, d):
 
 @query("SELECT round(quantile_cont(l_quantity, 0.01), 4) AS p1, round(quantile_cont(l_quantity, 0.99), 4) AS p99, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
 def A45_limits_trend(spark, d):
-    p = F.percentile("l_quantity", F.array(F.lit(0.01), F.lit(0.99)))
-    return table(spark, d, "lineitem").agg(r4(p[0], "p1"), r4(p[1], "p99"), r4(F.regr_slope("l_extendedprice", "l_quantity"), "slope"), r4(F.regr_intercept("l_extendedprice", "l_quantity"), "intercept"))
+    rows = table(spark, d, "lineitem")
+    p1, p99 = tables.quantiles(rows, "l_quantity", [0.01, 0.99])
+    return rows.agg(r4(F.lit(p1), "p1"), r4(F.lit(p99), "p99"), r4(F.regr_slope("l_extendedprice", "l_quantity"), "slope"), r4(F.regr_intercept("l_extendedprice", "l_quantity"), "intercept"))
 
 
 @query("SELECT min(ts) AS first, max(ts) AS last, count(*) FILTER (event_id IS NULL) AS event_id, count(*) FILTER (user_id IS NULL) AS user_id, count(*) FILTER (event_type IS NULL) AS event_type, count(*) FILTER (value IS NULL) AS value, count(*) FILTER (props IS NULL) AS props FROM events")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waypath.functions import text
 from waypath.operators import rotation, tables
-from waypath.operators.asof import asof_join, asof_join_bucketed
+from waypath.operators.asof import asof_join
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained, legs
 from waypath.session import table
 
@@ -67,7 +67,7 @@ def J02_asof_bucketed(spark, d):
     """The same by time buckets, for keys with a large share of all rows."""
     p = _observations(spark, d, "purchase").select(F.col("event_id").alias("leg_id"), "user_id", "ts")
     c = _observations(spark, d, "click").select("user_id", "ts", "value")
-    got = asof_join_bucketed(p, c, ["user_id"], "ts", "ts", ["value"], 120, prefix="wx_")
+    got = asof_join(p, c, ["user_id"], "ts", "ts", ["value"], "120 minutes", prefix="wx_")
     return got.select(F.col("leg_id").alias("event_id"), "ts", "wx_ts", F.round("wx_value", 4).alias("wx_value"))
 
 
@@ -83,11 +83,11 @@ def J05_unique_to_reference(spark, d):
     return keys.join(table(spark, d, "nation"), F.col("k") == F.col("n_nationkey"), "left").select("k", "n_name")
 
 
-@query("""SELECT s_suppkey, r_name FROM supplier LEFT JOIN (SELECT DISTINCT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 0""")
+@query("""SELECT s_suppkey, r_name FROM supplier LEFT JOIN (SELECT DISTINCT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) ON CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END = n_nationkey""")
 def J06_bridge_to_history(spark, d):
     history = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name").distinct()
-    bridge = table(spark, d, "supplier").where("s_suppkey % 4 <> 0")
-    return bridge.join(history, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "r_name")
+    bridge = table(spark, d, "supplier").withColumn("key", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")))  # a quarter have no bridge
+    return bridge.join(history, F.col("key") == F.col("n_nationkey"), "left").select("s_suppkey", "r_name")
 
 
 @query("""SELECT n_nationkey, p_partkey FROM (
@@ -256,11 +256,11 @@ def P06_route_filter(spark, d):
 
 
 
-@query(f"""WITH {LEGS}, few AS (SELECT * FROM legs WHERE tail % 20 = 1), h AS (SELECT DISTINCT origin FROM few WHERE origin NOT IN ('N1', 'N2') AND dest IN ('N1', 'N2'))
-SELECT leg_id, tail FROM few WHERE dest IN ('N1', 'N2') OR (origin NOT IN ('N1', 'N2') AND dest IN (SELECT origin FROM h))""")
+@query(f"""WITH {LEGS}, h AS (SELECT DISTINCT origin FROM legs WHERE origin NOT IN ('N1', 'N2') AND dest IN ('N1', 'N2'))
+SELECT leg_id, tail FROM legs WHERE dest IN ('N1', 'N2') OR (origin NOT IN ('N1', 'N2') AND dest IN (SELECT origin FROM h))""")
 def P07_two_hop_inbound(spark, d):
-    """On every twentieth tail, so that not all places have a leg into the core: the filter is what is shown."""
-    return tables.two_hop_inbound(legs(spark, d).where("tail % 20 = 1"), ["N1", "N2"]).select("leg_id", "tail")
+    """Legs into the core, and into places with a leg into the core; none out of the core to outside."""
+    return tables.two_hop_inbound(legs(spark, d), ["N1", "N2"]).select("leg_id", "tail")
 
 
 @query(f"WITH {LEGS} SELECT leg_id, tail FROM legs WHERE (origin = 'N1' AND dest IN ('N2', 'N3')) OR (origin IN ('N2', 'N3') AND dest = 'N1')")
@@ -299,7 +299,7 @@ def P13_fill_constant(spark, d):
 def P14_median_impute(spark, d):
     """The median of the training years fills the later ones."""
     x = legs(spark, d)
-    m = x.where("year(day) < 2000").agg(F.median("arr_delay")).first()[0]
+    m = tables.quantiles(x.where("year(day) < 2000"), "arr_delay", [0.5])[0]
     return x.where("year(day) >= 2000").fillna(m, ["arr_delay"]).select("leg_id", "tail", F.round("arr_delay", 4).alias("arr_delay"))
 
 
@@ -318,11 +318,11 @@ def P16_sample(spark, d):
     return e.where(tables.hash_fold(10, "event_id") == 3).select("event_id", "user_id")
 
 
-@query()
+@query("""WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_id, event_type, CASE WHEN r <= n * 25 // 100 THEN 'test' ELSE 'train' END AS part FROM r""")
 def P17_stratified_split(spark, d):
-    """A quarter of each event type for testing, by rank of a hash within the type's rows of a day."""
-    e = table(spark, d, "events")
-    return e.select("event_id", "event_type", F.when(tables.hash_fold(100, "event_type", "event_id") < 25, "test").otherwise("train").alias("part"))
+    """A quarter of each event type for testing: the first of the type in the order of a hash of the id."""
+    return tables.stratified(table(spark, d, "events"), "event_type", "event_id", 25).select("event_id", "event_type", "part")
 
 
 @query("SELECT s_suppkey, 0.0::DOUBLE AS wind, s_acctbal FROM supplier")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waypath.functions import buckets, clock, text
+from waypath.operators import features, tables
+from waypath.plans.features import FEATURED, featured
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained, legs
 from waypath.session import table
 
@@ -96,7 +98,7 @@ def D10_many_formats(spark, d):
 def D11_epoch(spark, d):
     """Epoch values whose unit is told by their median."""
     e = _events(spark, d).select("event_id", (F.unix_timestamp(F.col("ts").cast("timestamp")) * 1000).alias("n"))
-    ms = e.agg(F.median("n") > 1e12).first()[0]
+    ms = tables.quantiles(e, "n", [0.5])[0] > 1e12
     return e.select("event_id", clock.epoch(F.col("n"), ms).alias("at"))
 
 
@@ -226,9 +228,9 @@ def T09_packed_missing(spark, d):
     return _events(spark, d).select("event_id", text.packed(_tmp(), 0, 10).alias("celsius"))
 
 
-@query("SELECT user_id, event_id, lpad(printf('%x', event_id * 2654435), 6, '0') AS hex FROM events WHERE event_id < 6000")
+@query("SELECT user_id, event_id, lpad(printf('%x', event_id * 2654435), 6, '0') AS hex FROM events")
 def T10_hex_id(spark, d):
-    return _events(spark, d).where("event_id < 6000").select("user_id", "event_id", text.hex_id(F.concat(F.lit("0X"), F.hex(F.col("event_id") * 2654435), F.lit("-"))).alias("hex"))
+    return _events(spark, d).select("user_id", "event_id", text.hex_id(F.concat(F.lit("0X"), F.hex(F.col("event_id") * 2654435), F.lit("-"))).alias("hex"))
 
 
 @query("SELECT s_suppkey, ltrim(regexp_extract(s_name, '([0-9]+)$', 1), '0') AS number FROM supplier")
@@ -416,11 +418,22 @@ def N05_wider(spark, d):
     return legs(spark, d).withColumn("m", F.month("day")).groupBy("carrier").pivot("m", [1, 2, 3]).agg(F.round(F.avg("arr_delay"), 4))
 
 
-@query(f"""WITH {CHAINED} SELECT leg_id, [[coalesce(prev2_arr_delay, 0), coalesce(prev2_dep_delay, 0)], [coalesce(prev1_arr_delay, 0), coalesce(prev1_dep_delay, 0)], [0.0, coalesce(dep_delay, 0)]] AS steps FROM chained""")
+def _step_sql(variant: str) -> str:
+    shown = lambda c: f"coalesce(f.{c}, m.{c})" if c in features.TWO_HOP else f"f.{c}"
+    earlier = lambda hop, gap: [*(f"prev{hop}_{k}" for k in ("arr_delay", "dep_delay", "arr_del15", "dep_del15")), gap, *(None for _ in features.AROUND)]
+    current = [*(None for _ in features.KNOWN), *(c if c in features.VARIANTS[variant] else None for c in features.AROUND)]
+    steps = (earlier(2, "time_since_prev2_arrival_minutes"), earlier(1, "prev1_turnaround_minutes"), current)
+    return "[" + ", ".join("[" + ", ".join(f"round({shown(c)}, 4)" if c else "0.0::DOUBLE" for c in s) + "]" for s in steps) + "]"
+
+
+@query(f"""WITH {FEATURED}, m AS (SELECT {", ".join(f"median({c}) AS {c}" for c in features.TWO_HOP)} FROM featured)
+SELECT leg_id, {", ".join(f"{_step_sql(v)} AS {v}" for v in features.VARIANTS)} FROM featured f, m""")
 def N06_sequences(spark, d):
-    """Three steps of the same features, oldest first; what the last can't know is 0."""
-    z = lambda c: F.coalesce(c, F.lit(0.0))
-    return chained(spark, d).select("leg_id", F.array(F.array(z("prev2_arr_delay"), z("prev2_dep_delay")), F.array(z("prev1_arr_delay"), z("prev1_dep_delay")), F.array(F.lit(0.0), z("dep_delay"))).alias("steps"))
+    """Three steps of 29 features, oldest first, in both variants; missing delays and gaps are their medians."""
+    x = featured(spark, d)
+    fill = {c: tables.quantiles(x, c, [0.5])[0] for c in features.TWO_HOP}
+    r4 = lambda s: F.transform(s, lambda step: F.transform(step, lambda v: F.round(v, 4)))
+    return x.select("leg_id", *(r4(features.sequences(x, v, fill)).alias(v) for v in features.VARIANTS))
 
 
 @query(f"SELECT h, CAST(unnest(generate_series(h - INTERVAL 3 DAY, h + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT unnest([{_H}]) AS h)")

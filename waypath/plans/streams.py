@@ -94,14 +94,13 @@ def R07_fresh_lookup(spark, d):
 
 @query("SELECT event_id, user_id FROM events")
 def R08_flushed_batches(spark, d):
-    """A file at a time, whole files to the sink, and an end when all is read."""
-    return run.finished(run.source(spark, d, "events", files_per_trigger=1).select("event_id", "user_id"), "r08")
+    """A file at a time, flushed in files of 1000 rows, and an end when all is read: no limit of rows or time is reached."""
+    return run.flushed(run.source(spark, d, "events", files_per_trigger=1).select("event_id", "user_id"), "r08", 1000, seconds=3600)[0]
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events")
 def R09_progress_counters(spark, d):
-    _, totals = run.counted(run.source(spark, d, "events"), "r09", n=F.count("*"), errors=F.count_if(F.col("event_type") == "error"))
-    return spark.createDataFrame([(totals["n"], totals["errors"])], "n long, errors long")
+    return run.counted(run.source(spark, d, "events"), "r09", n=F.count("*"), errors=F.count_if(F.col("event_type") == "error"))[1]
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")

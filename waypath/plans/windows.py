@@ -179,9 +179,13 @@ def W18_keep_last(spark, d):
 
 @query("SELECT s_nationkey, s_suppkey, round(s_acctbal, 2) AS s_acctbal, row_number() OVER (ORDER BY s_nationkey NULLS FIRST, s_suppkey) AS place FROM supplier")
 def O01_multi_key_sort(spark, d):
-    """An order as a column: whole order by one small table's keys."""
-    s = table(spark, d, "supplier")
-    return s.select("s_nationkey", "s_suppkey", F.round("s_acctbal", 2).alias("s_acctbal"), F.row_number().over(W.orderBy(F.asc_nulls_first("s_nationkey"), "s_suppkey")).cast("long").alias("place"))
+    """An order as a column: the place inside a first key, after the rows of all smaller first keys."""
+    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.round("s_acctbal", 2).alias("s_acctbal"))
+    before = W.orderBy(F.asc_nulls_first("s_nationkey")).rowsBetween(W.unboundedPreceding, -1)  # over a row for each first key
+    sizes = s.groupBy("s_nationkey").agg(F.count("*").alias("n")).select(F.col("s_nationkey").alias("k"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    placed = s.withColumn("r", inside).join(sizes, F.col("s_nationkey").eqNullSafe(F.col("k")))
+    return placed.select("s_nationkey", "s_suppkey", "s_acctbal", (F.col("before") + F.col("r")).alias("place"))
 
 
 @query(f"""WITH {LEGS}, t AS (SELECT carrier, origin, round(avg(arr_delay), 4) AS delay, count(*) AS n FROM legs GROUP BY 1, 2)

@@ -37,8 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """The rows without their lineage: written to the shared folder and read again."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder of ``spark.checkpoint.dir`` (this machine's where that is unset)."""
+    """A new path below the shared folder of ``spark.checkpoint.dir`` (this machine's where that is unset);
+    it is deleted when the driver ends."""
     import tempfile
     import uuid
 
@@ -49,7 +57,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="waypath-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/waypath/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/waypath/{label}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
 
 
 _SHIPPED: set[str] = set()

@@ -111,6 +111,22 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def dataset(spark: SparkSession, name: str, places: dict[str, str], cache: str, refresh: bool = False) -> DataFrame:
+    """The Parquet dataset that ``places`` has under ``name``, or under ``*`` with ``{name}`` in its address.
+
+    The first load copies it below ``cache`` (a shared folder); later ones read the copy. A copy that was
+    cut off has no mark of success and is made again.
+    """
+    address = places.get(name) or places.get("*", "").replace("{name}", name)
+    if not address:
+        raise KeyError(f"no dataset {name}; known: {sorted(places)}")
+    copy = f"{cache}/{name}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{copy}/_SUCCESS")
+    if refresh or not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        spark.read.parquet(address).write.mode("overwrite").parquet(copy)
+    return spark.read.parquet(copy)
+
+
 def block_list(spark: SparkSession, path: str, column: str) -> DataFrame:
     """Distinct upper-case stripped values of a CSV's column; a missing file gives an empty list."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 class At(InputPartition):
@@ -40,8 +40,8 @@ class SnapshotReader(DataSourceReader):
             yield (ts, *row)
 
 
-class SnapshotStream(SimpleDataSourceStreamReader):
-    """The same grid as a stream: each trigger takes the times that are due, up to the end."""
+class SnapshotStream(DataSourceStreamReader):
+    """The same grid as a stream: a trigger takes the times that are due, a partition for each, read by executors."""
 
     def __init__(self, options: dict):
         self.snapshots = SnapshotReader(options)
@@ -50,11 +50,14 @@ class SnapshotStream(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"n": 0}
 
-    def read(self, start: dict):
-        return self.readBetweenOffsets(start, {"n": len(self.times)}), {"n": len(self.times)}
+    def latestOffset(self) -> dict:
+        return {"n": len(self.times)}
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([row for ts in self.times[start["n"] : end["n"]] for row in self.snapshots.read(At(ts))])
+    def partitions(self, start: dict, end: dict) -> list[At]:
+        return [At(ts) for ts in self.times[start["n"] : end["n"]]]
+
+    def read(self, partition: At):
+        return self.snapshots.read(partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -71,5 +74,5 @@ class Snapshots(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return SnapshotReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return SnapshotStream(self.options)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from waypath.session import scratch
@@ -31,20 +33,59 @@ def finished(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def counted(stream: DataFrame, label: str, **metrics) -> tuple[DataFrame, dict]:
-    """As ``finished``, with the sums of observed metrics over all batches."""
-    observed = stream.observe("progress", *(c.alias(n) for n, c in metrics.items()))
+def counted(stream: DataFrame, label: str, **metrics) -> tuple[DataFrame, DataFrame]:
+    """As ``finished``, and one row with ``metrics`` over all batches.
+
+    A batch's rows and its counters are written together, counters under the batch's number: a batch
+    that is run again replaces them. They are added up from what was written, however many batches there were.
+    """
     spark, path = stream.sparkSession, scratch(stream.sparkSession, label)
-    query = observed.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    totals = dict.fromkeys(metrics, 0)
-    for p in query.recentProgress:
-        row = (p.get("observedMetrics") if isinstance(p, dict) else p.observedMetrics) or {}
-        got = row.get("progress")
-        if got is not None:
-            got = got.asDict() if hasattr(got, "asDict") else got
-            totals = {n: totals[n] + (got.get(n) or 0) for n in totals}
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows"), totals
+    counters = {n: c.alias(n) for n, c in metrics.items()}
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df = df.persist()
+        df.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        df.agg(*counters.values()).write.mode("overwrite").parquet(f"{path}/counters/batch={batch}")
+        df.unpersist()
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    totals = spark.read.parquet(f"{path}/counters").agg(*(F.sum(n).alias(n) for n in metrics))
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(stream.columns), totals
+
+
+def flushed(stream: DataFrame, label: str, flush: int, most: int | None = None, seconds: float | None = None) -> tuple[DataFrame, str]:
+    """Files of at most ``flush`` rows until all is read (``read``), ``most`` rows are through (``records``) or
+    ``seconds`` have passed (``time``); and which of them ended it.
+
+    Limits are looked at between batches, so a batch is always whole and the checkpoint lets a later
+    run go on with the next one.
+    """
+    spark, path = stream.sparkSession, scratch(stream.sparkSession, label)
+    through, why = [0], ["read"]
+    began = time.monotonic()
+
+    def keep(df: DataFrame, batch: int) -> None:
+        if why[0] != "read":  # told to stop: this batch stays for the next run
+            raise _Ended
+        seen = Observation()
+        df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").option("maxRecordsPerFile", flush).parquet(f"{path}/rows/batch={batch}")
+        through[0] += seen.get["n"]
+        if most is not None and through[0] >= most:
+            why[0] = "records"
+        elif seconds is not None and time.monotonic() - began >= seconds:
+            why[0] = "time"
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if why[0] == "read":
+            raise
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(stream.columns), why[0]
+
+
+class _Ended(Exception):
+    """A limit of :func:`flushed` was reached."""
 
 
 def dumped(stream: DataFrame, label: str, first: int) -> DataFrame:

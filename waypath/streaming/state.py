@@ -18,16 +18,25 @@ OUTPUT = "key string, leg_id long, prev_leg_id long, prev_arr_delay double, turn
 class Rotation(StatefulProcessor):
     """Rows (key, leg_id, origin, dest, dep_ts, arr_ts, dep_delay, arr_delay) in order of departure.
 
-    A batch's rows of a key are sorted; rows of later batches follow, whatever their time.
-    Counters start anew with a day.
+    A key's rows of a batch come in chunks (Spark's Arrow batches), each of which is sorted and given out
+    before the next, so a key may have any number of rows. Rows of later chunks and batches follow,
+    whatever their time: a source that isn't in order should be cut into batches (``maxFilesPerTrigger``) in
+    which a key fits one chunk. Counters start anew with a day.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last_leg", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        legs = pd.concat(list(rows)).sort_values(["dep_ts", "leg_id"])
         last = self.state.get() if self.state.exists() else None
+        for chunk in rows:
+            frame, last = self._followed(key[0], chunk.sort_values(["dep_ts", "leg_id"]), last)
+            yield frame
+        self.state.update(last)
+
+    @staticmethod
+    def _followed(key, legs: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        """The rows of ``legs`` after ``last``, and what they leave."""
         out = []
         for leg in legs.itertuples(index=False):
             day, delay = str(leg.dep_ts.date()), 0.0 if pd.isna(leg.dep_delay) else leg.dep_delay
@@ -40,11 +49,10 @@ class Rotation(StatefulProcessor):
                 joined = int(prev_dest == leg.origin)
                 if prev_day == day:
                     number, total = prev_n + 1, prev_total + delay
-            out.append((key[0], leg.leg_id, prev_id, prev_delay, turn, joined, number, total))
+            out.append((key, leg.leg_id, prev_id, prev_delay, turn, joined, number, total))
             last = (int(leg.leg_id), leg.dest, leg.arr_ts, None if pd.isna(leg.arr_delay) else float(leg.arr_delay), day, number, float(total))
-        self.state.update(last)
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-        yield frame.astype({"prev_leg_id": "Int64", "prev_arr_delay": "float64", "turnaround": "float64"})
+        return frame.astype({"prev_leg_id": "Int64", "prev_arr_delay": "float64", "turnaround": "float64"}), last
 
     def close(self) -> None:
         pass
@@ -56,4 +64,5 @@ def rotation(stream: DataFrame) -> DataFrame:
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state needs this store; a session of one's own should have the setting from the start."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
