@@ -4,10 +4,12 @@
    boundaries and checksums leave it. An overlong document is cut into full windows of
    ``window`` ids; each full window is a sequence of its own. What remains is one piece
    shorter than the window.
-2. Rows are dealt to groups by a hash of (doc_id, number of ids, checksum), about
-   ``GROUP_DOCS`` documents each, so no task holds more than a group and no key decides its size.
+2. Boundaries are written; a row's place in that table is its number, which a repeated task can't
+   change. Rows are dealt to groups by a hash of that number, about ``GROUP_DOCS`` documents
+   each, so rows that repeat id and text spread like any others. Groups share the session's
+   shuffle partitions; a task packs one group after the other.
 3. In a group, pieces go in decreasing length to the open sequence with the least room that
-   still fits, found by a segment tree over remaining capacity. Ties go by (doc_id, checksum),
+   still fits, found by a segment tree over remaining capacity. Ties go by (doc_id, number),
    so a repeated task gives the same sequences.
 
 Every group leaves a few sequences open, so padding stays a fraction of a percent whatever
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waypath.llm.shared import by_steps
+from waypath.llm.shared import by_steps, materialize
 from waypath.llm.tokens import ByteBpe, of
 
 WINDOW, END_ID = 1024, 0
@@ -103,7 +105,7 @@ def cutter(tokenizer: str, window: int, end_id: int):
 def packer(window: int):
     def pack(p: pd.DataFrame) -> pd.DataFrame:
         """Sequences of one group: first its full windows in order of documents, then best fit of the rests."""
-        p = p.assign(last=[x[-1] for x in p["crcs"]]).sort_values(["doc_id", "no_id", "doc_tokens", "last"], kind="stable")
+        p = p.sort_values(["doc_id", "no_id", "row"], kind="stable")
         total = p["doc_tokens"].to_numpy()
         n_full = total // window
         rest = total - n_full * window
@@ -127,8 +129,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """PIECES of all ``docs`` (doc_id, text): one row per piece, with its place in a sequence."""
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.col("text").cast("string").alias("text"))
-    groups = max(1, -(-rows.count() // group_docs))
     cuts = by_steps(rows, "text", cutter(tokenizer, window, end_id), CUTS, STEP)
-    dealt = cuts.withColumn("group", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.element_at("crcs", -1)), F.lit(groups)).cast("int"))
-    pieces = dealt.repartition(groups, "group").groupBy("group").applyInPandas(packer(window), PIECES)
+    cuts = materialize(cuts.withColumn("row", F.monotonically_increasing_id()), "cuts")
+    groups = max(1, -(-cuts.count() // group_docs))
+    dealt = cuts.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    pieces = dealt.groupBy("group").applyInPandas(packer(window), PIECES)
     return pieces.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

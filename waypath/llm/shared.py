@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text that one step of a Python operator handles at a time, in bytes; a longer text is a step of its own.
@@ -63,6 +65,28 @@ def drop(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_row(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two columns that together name each row, also rows that are equal, and these columns' names.
+
+    They are the file (hashed) and the place in it, which don't change when a task is repeated;
+    a table that isn't read straight from Parquet is written first.
+    """
+    names = ["_file", "_row"]
+    while set(names) & set(docs.columns):
+        names = ["_" + n for n in names]
+
+    def named(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(at.getField("file_path")).alias(names[0]), at.getField("row_index").alias(names[1]))
+
+    try:
+        out = named(docs)
+        out.schema  # noqa: B018  unresolved columns show here
+    except AnalysisException:
+        out = named(materialize(docs, "docs"))
+    return out, names
+
+
 def steps(batch: pa.RecordBatch, text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text, so that what a step builds stays bounded."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -100,15 +124,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
-def by_steps(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, most: int = STEP_BYTES) -> DataFrame:
-    """``fn`` over the rows, a bounded slice of an Arrow batch at a time."""
+def by_steps(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = STEP_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``fn`` over the rows, a bounded slice of an Arrow batch at a time; columns ``keep`` of the rows go along."""
 
     small_batches(df.sparkSession)
+    if keep:
+        schema = T.StructType([*T._parse_datatype_string(schema).fields, *(df.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, text, most):
-                yield fn(part)
+                out = fn(part)
+                yield pa.RecordBatch.from_arrays([*out.columns, *(part.column(c) for c in keep)], names=[*out.schema.names, *keep]) if keep else out
         end_task()
 
     return df.mapInArrow(run, schema)
