@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from waypath.llm import exact, language, minhash, packing, quality, scoring, sentencepiece, urls, warc, wordpiece
+from waypath.llm.shared import materialize
 from waypath.session import table
 
 
@@ -21,8 +22,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    return exact.deduplicate(table(spark, sf_dir, "documents"), index)
+    index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")  # this query's own, dropped when its rows are written
+    rows = materialize(exact.deduplicate(table(spark, sf_dir, "documents"), index), "exact")
+    index.drop()
+    return rows
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
