@@ -4,16 +4,18 @@ Two variable-order Markov models over characters are counted, of URLs that the r
 and of URLs that they block. A character's probability given up to ORDER - 1 earlier ones is
 smoothed by Witten-Bell: each context mixes what it has seen with the next shorter one, and a
 context seen under SEEN times is passed over for the shorter one. A URL's score is the mean
-over its characters of log(allowed / blocked). The cut is calibrated: of all hundredths, the
-one that best separates allowed from blocked URLs (largest difference of their shares at or
-above it; of equal ones the lowest).
-
-Everything is built-in functions. Distinct URLs are scored once, so a URL with a third of
-all rows is one row. Characters are folded to an alphabet of fixed size, so the table of
+over its characters of log(allowed / blocked). The cut is calibrated on URLs that neither model
+has counted, HELD sixteenths of them by the digest of the URL: of all hundredths, the one that
+best separates allowed from blocked URLs there (largest difference of their shares at or above
+it; of equal ones the lowest).
+
+Everything is built-in functions. Distinct URLs are counted and scored once, so a URL with a
+third of all rows is one row; they are dealt to all of the session's partitions before their
+n-grams are made. Characters are folded to an alphabet of fixed size, so the table of
 n-grams is bounded; it is broadcast up to BROADCAST_GRAMS rows and shuffled beyond.
 
-A null URL has empty host and path, no rule, and is allowed. Without allowed or blocked URLs
-to learn from, scores are 0 and the rest is allowed.
+A null URL has empty host and path, no rule, and is allowed. Without both allowed and blocked
+URLs to calibrate on, the rest is allowed.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ SEEN = 3
 KEPT = "a-z0/.:?=&#%+_\\-"
 ALPHABET = 26 + 1 + 11 + 3
 BROADCAST_GRAMS = 300_000
+HELD = "012"  # first digits of the MD5 of a URL that is kept for the calibration
 HUNDREDTHS = 1000  # scores beyond 10 count as 10 in the calibration
 
 
@@ -86,18 +89,29 @@ def _log_ratio(counts: DataFrame) -> DataFrame:
     return rows.select("gram", F.round((F.log(p["allow"]) - F.log(p["block"])) * 1e6).cast("long").alias("micro"))
 
 
-def _counts(pages: DataFrame) -> DataFrame:
-    """(gram, allow, block): counts of n-grams in pages of either verdict; 0 for those only seen elsewhere."""
-    each = pages.where("url is not null").groupBy("url").agg(F.count_if(F.col("found.verdict") == "allow").alias("a"), F.count_if(F.col("found.verdict") == "block").alias("b"))
-    return each.select("a", "b", F.explode(_grams(F.col("url"))).alias("gram")).groupBy("gram").agg(F.sum("a").alias("allow"), F.sum("b").alias("block"))
+def _held(url: Column) -> Column:
+    return F.substring(F.md5(url), 1, 1).isin(*HELD)
+
+
+def _distinct(pages: DataFrame) -> DataFrame:
+    """(url, a, b): each URL once, and in how many pages it is allowed and blocked by a rule; 0 for those held out."""
+    count = lambda verdict: F.count_if((F.col("found.verdict") == verdict) & ~_held(F.col("url")))
+    return pages.where("url is not null").groupBy("url").agg(count("allow").alias("a"), count("block").alias("b"))
+
+
+def _dealt(urls: DataFrame, *cols: str) -> DataFrame:
+    """A row for each n-gram of each URL: URLs are spread first, as each gives some sixty rows."""
+    wide = urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
+    return wide.select(*cols, F.explode(_grams(F.col("url"))).alias("gram"))
 
 
 def scores(pages: DataFrame) -> DataFrame:
     """(url, hundredths): floor of 100 times the mean log ratio, of each distinct URL of (url, found)."""
-    ratio = materialize(_log_ratio(materialize(_counts(pages), "grams")), "ratio")
+    urls = materialize(_distinct(pages), "urls")
+    counts = _dealt(urls, "a", "b").groupBy("gram").agg(F.sum("a").alias("allow"), F.sum("b").alias("block"))
+    ratio = materialize(_log_ratio(materialize(counts, "grams")), "ratio")
     small = ratio.count() <= BROADCAST_GRAMS
-    urls = pages.where("url is not null").select("url").distinct()
-    rows = urls.select("url", F.explode(_grams(F.col("url"))).alias("gram")).join(F.broadcast(ratio) if small else ratio, "gram")
+    rows = _dealt(urls, "url").join(F.broadcast(ratio) if small else ratio, "gram")
     mean = F.sum("micro") / F.count("*") / 1e6
     return rows.groupBy("url").agg(F.floor(mean * 100).alias("hundredths"))
 
@@ -126,7 +140,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     rows = rows.withColumns({"host": host, "path": path})
     rows = rows.withColumn("found", matched(F.col("host"), F.col("path"), rules))
     scored = materialize(scores(rows), "scores")
-    cut = calibrated(rows.where("found is not null").join(scored, "url").select("hundredths", "found.verdict"))
+    cut = calibrated(rows.where(F.col("found").isNotNull() & _held(F.col("url"))).join(scored, "url").select("hundredths", "found.verdict"))
     by_score = F.when(F.col("hundredths") < cut, "block").otherwise("allow") if cut is not None else F.lit("allow")
     ruled = rows.where("found is not null").select("page_id", "host", "path", "found.rule", "found.verdict")
     rest = rows.where("found is null").join(scored, "url", "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), by_score.alias("verdict"))
@@ -145,6 +159,7 @@ def _sql() -> str:
         joins += f" JOIN s{n} ON s{n}.s = right(k.gram, {n}) JOIN c{n} ON c{n}.c = left(right(k.gram, {n}), {n - 1})"
         for x in "ab":
             last[x] = f"(CASE WHEN c{n}.{x} >= {SEEN} THEN (s{n}.{x} + c{n}.t{x} * {last[x]}) / (c{n}.{x} + c{n}.t{x})::DOUBLE ELSE {last[x]} END)"
+    held = "left(md5(url), 1) IN (" + ", ".join(f"'{x}'" for x in HELD) + ")"
     upper, lower = string.ascii_uppercase + "123456789", string.ascii_lowercase + "0" * 9
     return f"""
 WITH p AS (
@@ -154,7 +169,7 @@ WITH p AS (
 ), r AS (
   SELECT *, CASE {fits} END AS found FROM p
 ), f AS (
-  SELECT url, count(*) FILTER (found LIKE 'allow%') AS a, count(*) FILTER (found LIKE 'block%') AS b,
+  SELECT url, count(*) FILTER (found LIKE 'allow%' AND NOT {held}) AS a, count(*) FILTER (found LIKE 'block%' AND NOT {held}) AS b,
          '{"^" * (ORDER - 1)}' || regexp_replace(translate(url, '{upper}', '{lower}'), '[^{KEPT}]', '~', 'g') || '$' AS t
   FROM r WHERE url IS NOT NULL GROUP BY url
 ), g AS (
@@ -168,7 +183,7 @@ WITH p AS (
   SELECT url, floor(sum(micro)::DOUBLE / count(*) / 1e6 * 100)::BIGINT AS h FROM g JOIN m USING (gram) GROUP BY url
 ), e AS (
   SELECT greatest(least(h, {HUNDREDTHS}), -{HUNDREDTHS}) AS pos, count(*) FILTER (found LIKE 'allow%') AS a, count(*) FILTER (found LIKE 'block%') AS b
-  FROM r JOIN z USING (url) WHERE found IS NOT NULL GROUP BY 1
+  FROM r JOIN z USING (url) WHERE found IS NOT NULL AND {held} GROUP BY 1
 ), w AS (
   SELECT pos, sum(a) OVER (ORDER BY pos DESC) AS ca, sum(b) OVER (ORDER BY pos DESC) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM e
 ), cut AS (
