@@ -133,7 +133,7 @@ def test_archives(pages):
 
 
 def test_captures_are_nested(spark, pages, tmp_path):
-    warc.write(pages, f"file://{tmp_path}/w", archive_pages=2)
+    warc.write(pages, f"file://{tmp_path}/w", archives=((0, 2), (100, 1)))
     got = {c.metadata.payload.decode().split("\r\n")[0]: c for c in warc.captures(warc.read(spark, f"file://{tmp_path}/w")).collect()}
     c = got["page-id: 5"]
     assert c.response.payload.decode() == PAGES[6][2] and c.request.payload_bytes == 0 and c.request.http_head.startswith("GET http://x.net/fr/")

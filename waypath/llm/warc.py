@@ -6,8 +6,9 @@ the request, and metadata. The last two name the first in WARC-Concurrent-To. Re
 text in UTF-8, so Spark's text writer writes them, ``\\r\\n\\r\\n`` after each, gzip around.
 
 Reading: an archive is inflated and parsed as a stream, record by record by Content-Length;
-a payload may hold anything, record heads included. Archives hold at most the records of
-ARCHIVE_PAGES pages, so a task's memory is bounded by one archive, compressed, and one record.
+a payload may hold anything, record heads included. Archives hold at most the records of as many
+pages as ARCHIVES allows for their size, so an archive has at most 256 MB before compression, or
+one page; a task's memory is bounded by one archive, compressed, and one record.
 
 Assembling: request and metadata records are reduced to one row per concurrent-to identifier
 and joined to their response by it; one nested row per capture comes out. Identifiers are
@@ -30,10 +31,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.shared import new_path
+from waypath.llm.shared import materialize, new_path
 
 MIN_REVISIT = 100
-ARCHIVE_PAGES = 4096
+#: (bytes from which, pages to an archive): large payloads are archived apart, the largest one by one.
+ARCHIVES = ((0, 4096), (64 << 10, 64), (4 << 20, 1))
+#: A payload is hot if it has more than one page in so many.
+HOT = 4096
 #: Bytes inflated at a time.
 INFLATE = 1 << 20
 END = "\r\n\r\n"
@@ -56,28 +60,49 @@ def _record(kind: str | Column, rid: Column, body: Column, *headers: tuple[str,
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body)
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) with digest, size and refers_to (null for responses).
+def revisits(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, html) with digest, size and refers_to (null for responses), from the :func:`payloads` found.
 
-    The first page of each payload is found by a grouped minimum, which tasks take before the
-    shuffle; the join back has one row per repeated payload on its right side, and payloads
-    that can't be revisits join by a key of their own.
+    Payloads that repeat meet their first page by digest. The hot ones, at most HOT, are broadcast; a page
+    whose payload is hot or can't be a revisit has a key of its own in the shuffled join.
     """
+    first = found.where(F.col("n") > 1).where(F.col("first").isNotNull() & (F.col("size") >= MIN_REVISIT)).select("digest", "first", "n")
+    limit = (found.agg(F.sum("n")).first()[0] or 0) // HOT + 1
+    hot = first.where(F.col("n") > limit).select("digest", F.col("first").alias("hot"))
+    others = first.where(F.col("n") <= limit).select(F.col("digest").alias("key"), "first")
+    rows = _payload(pages).join(F.broadcast(hot), "digest", "left")
+    alone = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("key", F.when(F.col("hot").isNull() & (F.col("size") >= MIN_REVISIT), F.col("digest")).otherwise(alone)).join(others, "key", "left")
+    to = F.coalesce("hot", "first")
+    return rows.select("page_id", "url", "html", "digest", "size", F.when(F.col("page_id").isNull() | (F.col("page_id") > to), to).alias("refers_to"))
+
+
+def _payload(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumns({"digest": F.sha2(F.col("html"), 256), "size": F.octet_length("html").cast("long")})
-    large = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = large.where("n > 1 and first is not null").select(F.col("digest").alias("key"), "first")
-    key = F.when(F.col("size") >= MIN_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    return rows.withColumn("key", key).join(first, "key", "left").select("page_id", "url", "html", "digest", "size", F.expr("case when page_id is null or page_id > first then first end").alias("refers_to"))
+    return rows.withColumns({"digest": F.sha2(F.col("html"), 256), "size": F.octet_length("html").cast("long")})
 
 
-def write(pages: DataFrame, path: str, archive_pages: int = ARCHIVE_PAGES) -> None:
+def payloads(pages: DataFrame) -> DataFrame:
+    """(digest, first, n, size) of each distinct payload: its smallest page_id, its pages (counted before the shuffle), its bytes."""
+    return materialize(_payload(pages).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.max("size").alias("size")), "payloads")
+
+
+def write(pages: DataFrame, path: str, archives: tuple[tuple[int, int], ...] = ARCHIVES) -> None:
     """Archives of ``pages`` (page_id, url, html) below ``path``."""
-    rows = revisits(pages)
+    found = payloads(pages)
+    rows = revisits(pages, found)
+    tops = [least for least, _ in archives[1:]] + [1 << 62]
+    there = found.agg(*(F.count_if((F.col("size") >= least) & (F.col("size") < top)) for (least, _), top in zip(archives, tops, strict=True))).first()
+    for (least, most), top, n in zip(archives, tops, there, strict=True):
+        if n or not least:
+            _write(rows.where((F.col("size") >= least) & (F.col("size") < top)), path, most)
+
+
+def _write(rows: DataFrame, path: str, archive_pages: int) -> None:
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     # a page id may repeat: the record id also has the row's place, which one attempt of the writing task fixes
-    base = F.concat(F.lit("urn:page:"), page, F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    base = F.concat(F.lit(f"urn:page:{archive_pages}:"), page, F.lit(":"), F.monotonically_increasing_id().cast("string"))
     rows = rows.withColumn("base", base)
     rid = lambda kind: F.concat(F.col("base"), F.lit(f":{kind}"))
     target = _clean(F.col("url"))
@@ -103,7 +128,7 @@ def write(pages: DataFrame, path: str, archive_pages: int = ARCHIVE_PAGES) -> No
         _record("request", rid("request"), asked, uri, to, ("Content-Type", F.lit("application/http; msgtype=request"))),
         _record("metadata", rid("metadata"), about, uri, to, ("Content-Type", F.lit("application/warc-fields"))),
     )
-    rows.select(F.explode(records).alias("value")).write.option("maxRecordsPerFile", 3 * archive_pages).option("lineSep", END).option("compression", "gzip").text(path)
+    rows.select(F.explode(records).alias("value")).write.mode("append").option("maxRecordsPerFile", 3 * archive_pages).option("lineSep", END).option("compression", "gzip").text(path)
 
 
 class _Stream:
