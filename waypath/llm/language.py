@@ -33,7 +33,7 @@ LONGEST = 3
 #: Distinct n-grams that a learning task adds up before it hands them on.
 FLUSH = 2_000_000
 #: Bytes of text taken at a time; its n-grams take about a hundred times as much memory.
-STEP = 1 << 20
+STEP = 1 << 19
 SPLITS = 64  # of a language's n-grams, when the most frequent are chosen
 
 UNKNOWN = "und"
@@ -137,8 +137,8 @@ class Model:
         return self.langs[best], float(1 - sums[best] / (self.size * len(top)))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, lang_pred, score."""
+def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, lang_pred, score, and its columns ``keep``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,8 +147,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         got = [held.value.judge(codes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return by_steps(rows, "text", judge, "doc_id long, lang_pred string, score double", STEP)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    return by_steps(rows, "text", judge, "doc_id long, lang_pred string, score double", STEP, keep)
 
 
 def fold(folds: int, doc_id: str = "doc_id") -> Column:
@@ -162,10 +162,10 @@ def learned(docs: DataFrame) -> Model:
     return Model([tuple(r) for r in rows])
 
 
-def languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row of ``docs`` (doc_id, text, lang).
+def languages(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row of ``docs`` (doc_id, text, lang), with its columns ``keep``.
 
     A null doc_id is in no fold: it teaches nothing and isn't held out.
     """
-    found = predict(docs, learned(docs))
-    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    found = predict(docs, learned(docs), *keep)
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", *keep)

@@ -10,7 +10,9 @@ as byte pieces, so decoding gives back every text exactly. Nothing else is norma
 
 Texts are cut before a space that follows another character, and around line feeds, where
 the vocabulary has no piece that reaches over such a place (checked when it is loaded); the
-best path of a text is then the best paths of its parts. Null encodes as an empty text, and
+best path of a text is then the best paths of its parts. The vocabulary in use holds ranks of
+merges for scores, so the ids are those of the best path by these scores, not those that a
+merging encoder of the same vocabulary gives; decoding is the same for both. Null encodes as an empty text, and
 an empty text to no ids.
 """
 

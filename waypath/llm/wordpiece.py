@@ -6,7 +6,8 @@ matches have been taken off) and the number of pieces that are popped on the way
 word moves along the trie, and along failure links where it ends, adding popped counts; so
 a word costs steps in proportion to its length and no piece is ever built.
 
-A word that no sequence of pieces covers counts as one unknown piece, as does nothing else.
+A word at which the greedy match gets stuck counts as one unknown piece, whatever part of it
+was matched before.
 Words are ``[^\\x20\\x09-\\x0D]+``. A null or empty text has no words and no tokens.
 """
 
