@@ -1,7 +1,8 @@
 """Stages of the corpus pipeline: each applies one operator and acts on what it decides.
 
-Rows are matched to decisions by doc_id. A row with a null doc_id can't be matched: it is
-kept by the filtering stages and packed as any other. An empty table gives an empty table.
+A decision belongs to a row, not to its doc_id: rows that share an id are judged each, a row
+with a null doc_id is judged as any other by its text (near_dedup alone keeps it, as it links
+with nothing). An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,39 +14,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waypath.llm import exact, language, minhash, packing, quality
-from waypath.llm.shared import materialize
+from waypath.llm.shared import drop, materialize, with_row
 
 #: Below this share of the largest rank distance a text looks like none of the languages.
 LEAST_LANGUAGE = 0.1
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``rejected``, which is written first: few rows, shuffled by id."""
-    gone = materialize(rejected.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct(), "rejected")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def _carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with all its columns once more under other names, to go along with what is decided."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    return docs.select(*(c for c in ("doc_id", "text", "lang") if c in docs.columns), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))), names
+
+
+def _back(docs: DataFrame, found: DataFrame) -> DataFrame:
+    return found.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without letters or like none of them go."""
-    found = language.languages(docs)
-    return _without(docs, found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE)))
+    rows, names = _carried(docs)
+    found = language.languages(rows, *names)
+    return _back(docs, found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, quality.judge(docs, labels).where("not kept"))
+    rows, names = _carried(docs)
+    return _back(docs, quality.judge(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), *names).where("kept"))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts; of rows that repeat its doc_id and text the first in the table."""
+    docs, key = with_row(docs)
     index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    return _without(docs, exact.deduplicate(docs, index).where("not kept"))
+    kept = exact.deduplicate(docs, index, *key).where("kept")
+    first = materialize(kept.groupBy("text_sha256").agg(F.min(F.struct(*key)).alias("first")).select("first.*"), "kept")
+    index.drop()
+    return docs.join(first, key, "left_semi").drop(*key)
 
 
 def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return _without(docs, minhash.near_duplicates(docs).where("not kept"))
+    """One document of each group of near-duplicates, the one with the smallest doc_id; of rows that repeat it the first in the table."""
+    docs, key = with_row(docs)
+    near = minhash.NearDuplicates(docs, *key)
+    linked = materialize(near.result().where("part is not null").select("part", "kept", *key), "linked")
+    near.clear()
+    first = linked.where("kept").groupBy("part").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    rejected = materialize(linked.select(*key).join(first, key, "left_anti"), "rejected")
+    drop(linked)
+    return docs.join(rejected, key, "left_anti").drop(*key)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
