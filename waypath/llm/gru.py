@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 16
+HIDDEN = 20
 WINDOW = 24
 #: Texts side by side in training and in scoring.
 LANES, SCORING_LANES = 256, 1024
@@ -85,7 +85,11 @@ def unflat(v: np.ndarray, at: Layout) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Net:
@@ -93,60 +97,73 @@ class Net:
         self.at, self.p = at, p
 
     def _forward(self, ids: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-        """States after each step's inputs; ``h`` is left at the last one."""
+        """States after each step's inputs; ``h`` is left at the last one, for the rows that still run there."""
         p, n2, n3 = self.p, 2 * h.shape[1], h.shape[1]
-        states, saved = [], []
+        zx = (p["x"] + p["b"])[np.concatenate(ids)]
+        states, saved = np.empty((len(zx), n3), zx.dtype), []
+        j, old = 0, h.copy()
         for x in ids:
             n = len(x)
-            old = h[:n].copy()
-            zx = p["x"][x] + p["b"]
+            z, old = zx[j : j + n], old[:n]
             zh = old @ p["u"]
-            g = _sigmoid(zx[:, :n2] + zh[:, :n2])
-            r, keep = g[:, :n3], g[:, n3:]
-            hc = zh[:, n2:]
-            c = np.tanh(zx[:, n2:] + r * hc)
-            new = c + keep * (old - c)
-            h[:n] = new
-            states.append(new)
+            g = _sigmoid(z[:, :n2] + zh[:, :n2])
+            r, keep, hc = g[:, :n3], g[:, n3:], zh[:, n2:]
+            c = r * hc
+            c += z[:, n2:]
+            np.tanh(c, out=c)
+            new = states[j : j + n]
+            np.subtract(old, c, out=new)
+            new *= keep
+            new += c
             saved.append((old, r, keep, hc, c))
-        return np.concatenate(states), saved
+            j, old = j + n, new
+        h[: len(old)] = old
+        return states, saved
 
     def _outputs(self, s: np.ndarray, targets: np.ndarray, learn: bool):
         """log-probability of each target; with ``learn`` also gradients of their sum's negative.
 
-        Tokens are columns here, so that sums over classes and slots run along memory.
+        Tokens are columns here, so that sums over classes and slots run along memory, and stand in the
+        order of their classes, so that a class's tokens are one slice.
         """
         p, at = self.p, self.at
-        st = np.ascontiguousarray(s.T)
-        c = at.class_of[targets]
-        e, total, out = self._softmax(p["oc"].T @ st + p["bc"][:, None], c)
+        c = at.class_of[targets].astype(np.int16)
+        order = np.argsort(c, kind="stable")
+        c, slots = c[order], at.slot_of[targets[order]]
+        h = s.shape[1]
+        st = np.ones((h + 1, len(s)), s.dtype)  # a last row of ones for the biases
+        st[:h] = s[order].T
+        oc, os = np.vstack((p["oc"], p["bc"])), np.vstack((p["os"], p["bs"]))
+        e, total, got = self._softmax(oc.T @ st, c)
         grads, ds = None, None
         if learn:
             e = self._error(e, total, c)
-            ds = p["oc"] @ e
-            grads = {"oc": st @ e.T, "bc": e.sum(axis=1), "os": np.zeros_like(p["os"]), "bs": np.zeros_like(p["bs"])}
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(at.classes + 1))
-        slots = at.slot_of[targets]
+            ds, g, gs = p["oc"] @ e, st @ e.T, np.zeros_like(os)
+            grads = {"oc": g[:h], "bc": g[h], "os": gs[:h], "bs": gs[h]}
+        bounds = np.searchsorted(c, np.arange(at.classes + 1))
         for k in range(at.classes):
-            a, b = at.first[k], at.first[k + 1]
-            own = order[bounds[k] : bounds[k + 1]]
-            if b - a < 2 or not len(own):
+            a, b, i, j = at.first[k], at.first[k + 1], bounds[k], bounds[k + 1]
+            if b - a < 2 or i == j:
                 continue
-            own_s, slot = st[:, own], slots[own]
-            e, total, got = self._softmax(p["os"][:, a:b].T @ own_s + p["bs"][a:b, None], slot)
-            out[own] += got
+            e, total, more = self._softmax(os[:, a:b].T @ st[:, i:j], slots[i:j])
+            got[i:j] += more
             if learn:
-                e = self._error(e, total, slot)
-                ds[:, own] += p["os"][:, a:b] @ e
-                grads["os"][:, a:b] = own_s @ e.T
-                grads["bs"][a:b] = e.sum(axis=1)
-        return out, grads, ds.T if learn else None
+                e = self._error(e, total, slots[i:j])
+                ds[:, i:j] += os[:h, a:b] @ e
+                gs[:, a:b] = st[:, i:j] @ e.T
+        out = np.empty_like(got)
+        out[order] = got
+        if not learn:
+            return out, None, None
+        back = np.empty_like(s)
+        back[order] = ds.T
+        return out, grads, back
 
     @staticmethod
     def _softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Exponentials, their sums, and the chosen rows' log-probabilities."""
-        logits -= logits.max(axis=0)
+        if np.abs(logits).max(initial=0) > 40:  # else no exponential is too large or too small
+            logits -= logits.max(axis=0)
         got = logits[chosen, np.arange(len(chosen))].astype(np.float64)
         e = np.exp(logits, out=logits)
         total = e.sum(axis=0)
@@ -162,27 +179,28 @@ class Net:
         """Adds gradients of x, u and b; x as (ids, rows)."""
         p = self.p
         h3 = p["u"].shape[0]
-        carry = np.zeros((len(ids[0]), h3), np.float32)
+        carry = np.zeros((len(ids[0]), h3), ds.dtype)
+        zx, zh, olds = np.empty((len(ds), 3 * h3), ds.dtype), np.empty((len(ds), 3 * h3), ds.dtype), np.empty_like(ds)
         end = len(ds)
-        dzx, dzh, olds = [], [], []
         for x, (old, r, keep, hc, c) in zip(reversed(ids), reversed(saved), strict=True):
             n = len(x)
-            d = ds[end - n : end] + carry[:n]
+            own = slice(end - n, end)
             end -= n
-            dc = d * (1 - keep) * (1 - c * c)
-            dk = d * (old - c) * keep * (1 - keep)
-            dr = dc * hc * r * (1 - r)
-            zx = np.concatenate((dr, dk, dc), axis=1)
-            zh = np.concatenate((dr, dk, dc * r), axis=1)
-            carry[:n] = d * keep + zh @ p["u"].T
-            dzx.append(zx)
-            dzh.append(zh)
-            olds.append(old)
-        zx, zh = np.concatenate(dzx), np.concatenate(dzh)
-        grads["u"] = np.concatenate(olds).T @ zh
+            d = ds[own] + carry[:n]
+            dr, dk, dc = zx[own, :h3], zx[own, h3 : 2 * h3], zx[own, 2 * h3 :]
+            kept = d * keep
+            np.multiply(d - kept, 1 - c * c, out=dc)
+            np.multiply(kept * (old - c), 1 - keep, out=dk)
+            np.multiply(dc * hc, r * (1 - r), out=dr)
+            zh[own, : 2 * h3] = zx[own, : 2 * h3]
+            np.multiply(dc, r, out=zh[own, 2 * h3 :])
+            np.matmul(zh[own], p["u"].T, out=carry[:n])
+            carry[:n] += kept
+            olds[own] = old
+        grads["u"] = olds.T @ zh
         grads["b"] = zx.sum(axis=0)
-        which = np.concatenate([*reversed(ids)])
-        order = np.argsort(which, kind="stable")
+        which = np.concatenate(ids)
+        order = np.argsort(which.astype(np.uint16) if self.at.ids < 1 << 16 else which, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], which[order][1:] != which[order][:-1])))
         grads["x"] = which[order][first], np.add.reduceat(zx[order], first)
 

@@ -1,8 +1,9 @@
 """Log-likelihood of whole documents under a recurrent language model learned from the corpus.
 
 1. Words of all learning documents are counted (tasks add up before the shuffle).
-2. The SHORTLIST most frequent words get classes and slots; every other word belongs to the
-   class where its reversed spelling falls and shares that class's last slot. Inside that
+2. The most frequent words, SHORT times the fifth root of the tokens, get classes and slots, as
+   many classes as words to a class; every other word belongs to the class where its reversed
+   spelling falls and shares that class's last slot. Inside that
    slot, words divide the probability by their counts, smoothed, an unseen word included.
    So the vocabulary is all of the corpus, and the probabilities of all words sum to one.
 3. The network (``gru``) is trained in ROUNDS over disjoint parts of the learning documents,
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 from waypath.llm import gru
 from waypath.llm.shared import Words, end_task, materialize, steps
 
-SHORTLIST, CLASSES = 1024, 16
+#: Words of the network for each fifth root of the learning tokens: 1,000 of twenty million tokens, 3,300 of six billion.
+SHORT = 36
 KNOWN = 200_000
 #: Twentieths of the learning documents (by a hash of the id) that each round learns from, and its step size.
 ROUNDS = ((range(1), 0.05), (range(1, 5), 0.05), (range(5, 20), 0.04))
 #: Bytes of text that are scored or learned from side by side.
-STEP = 16 << 20
+STEP = 8 << 20
 FLUSH = 1_000_000  # distinct words that a counting task holds
 FOLDS, HELD_OUT = 5, 1
 
@@ -77,14 +79,16 @@ class Vocabulary:
     rest_types: np.ndarray | None = None
 
     @classmethod
-    def of(cls, words: list[bytes], counts: np.ndarray, ends: int) -> "Vocabulary":
-        n = min(SHORTLIST, len(words))
+    def of(cls, words: list[bytes], counts: np.ndarray, ends: int, tokens: int) -> "Vocabulary":
+        """``tokens``: of all learning documents, those of words that aren't among ``words`` included."""
+        n = min(int(SHORT * tokens**0.2), len(words))
+        classes = max(2, round(n**0.5))
         by_spelling = sorted(range(n), key=lambda i: words[i][::-1])
         share = np.cumsum(np.sqrt(counts[by_spelling].astype(float))) if n else np.zeros(0)
-        group = np.minimum((share / share[-1] * CLASSES).astype(int), CLASSES - 1) if n else np.zeros(0, int)
-        class_of, slot_of = np.zeros(n + CLASSES + 1, np.int64), np.zeros(n + CLASSES + 1, np.int64)
+        group = np.minimum((share / share[-1] * classes).astype(int), classes - 1) if n else np.zeros(0, int)
+        class_of, slot_of = np.zeros(n + classes + 1, np.int64), np.zeros(n + classes + 1, np.int64)
         first, borders, last = [0], [], b""
-        for c in range(CLASSES):
+        for c in range(classes):
             own = [by_spelling[j] for j in np.flatnonzero(group == c)]
             class_of[own], slot_of[own] = c, np.arange(len(own))
             class_of[n + c], slot_of[n + c] = c, len(own)
@@ -92,13 +96,19 @@ class Vocabulary:
             if c:
                 last = words[own[0]][::-1] if own else last
                 borders.append(last)
-        class_of[-1] = CLASSES
+        class_of[-1] = classes
         first.append(first[-1] + 1)
         return cls(words, counts, gru.Layout(class_of, slot_of, np.array(first)), borders, ends)
 
+    @property
+    def classes(self) -> int:
+        """Classes of words; the end of a text is one more."""
+        return self.layout.classes - 1
+
     @property
     def short(self) -> int:
-        return min(SHORTLIST, len(self.words))
+        """Words with a slot of their own."""
+        return self.layout.end - self.classes
 
     def class_of(self, word: bytes) -> int:
         return bisect_right(self.borders, word[::-1])
@@ -133,14 +143,14 @@ def _classes(vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     """Tokens and words of each class outside the shortlist, in a task's part of the counts."""
     v: Vocabulary = vocabulary.value
     index = v.index()
-    n, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    n, kinds = np.zeros(v.classes, np.int64), np.zeros(v.classes, np.int64)
     for batch in batches:
         for w, k in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
             if index.get(w, v.short) >= v.short:
                 c = v.class_of(w)
                 n[c] += k
                 kinds[c] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(kinds)], names=["class", "n", "kinds"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(v.classes)), pa.array(n), pa.array(kinds)], names=["class", "n", "kinds"])
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
@@ -166,10 +176,11 @@ def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
 
 def vocabulary(learning: DataFrame, counts: DataFrame) -> Vocabulary:
     """Of the counts (word, n) of the learning documents; at most KNOWN rows come to the driver."""
-    v = Vocabulary.of(*frequent(counts, KNOWN), learning.count())
+    ends = learning.count()
+    v = Vocabulary.of(*frequent(counts, KNOWN), ends, ends + (counts.agg(F.sum("n")).first()[0] or 0))
     sent = counts.sparkSession.sparkContext.broadcast(v)
     sums = counts.mapInArrow(lambda it: _classes(sent, it), "class long, n long, kinds long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toPandas()
-    v.rest, v.rest_types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    v.rest, v.rest_types = np.zeros(v.classes, np.int64), np.zeros(v.classes, np.int64)
     v.rest[sums["class"]], v.rest_types[sums["class"]] = sums["n"], sums["kinds"]
     v.total = int(v.rest.sum() + v.counts[: v.short].sum()) + v.ends
     v.types = int(v.rest_types.sum()) + v.short + (1 if v.ends else 0)
@@ -197,7 +208,7 @@ def trained(learning: DataFrame, v: Vocabulary) -> np.ndarray:
     """Weights learned from all rows (doc_id, text) of ``learning``."""
     spark = learning.sparkSession
     counts = np.zeros(v.layout.ids - 1)
-    counts[: v.short], counts[v.short : v.short + CLASSES], counts[-1] = v.counts[: v.short], v.rest, v.ends
+    counts[: v.short], counts[v.short : v.short + v.classes], counts[-1] = v.counts[: v.short], v.rest, v.ends
     weights = gru.flat(gru.initial(v.layout, counts))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(20))
     vocab = spark.sparkContext.broadcast(v)
