@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 20
+HIDDEN = 18
 WINDOW = 24
 #: Texts side by side in training and in scoring.
 LANES, SCORING_LANES = 256, 1024
@@ -162,7 +162,7 @@ class Net:
     @staticmethod
     def _softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Exponentials, their sums, and the chosen rows' log-probabilities."""
-        if np.abs(logits).max(initial=0) > 40:  # else no exponential is too large or too small
+        if logits.max(initial=0) > 40 or logits.min(initial=0) < -40:  # else no exponential is too large or too small
             logits -= logits.max(axis=0)
         got = logits[chosen, np.arange(len(chosen))].astype(np.float64)
         e = np.exp(logits, out=logits)
