@@ -411,8 +411,8 @@ def test_quality_ratio_and_verdict(spark):
 
 @needs_tables
 def test_quality_on_held_out_labels(spark):
-    """The target is learned from half of the labelled documents; the other half is judged."""
-    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    """The target is learned from half of the labelled documents of the large tables; the other half is judged."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     half = "crc32(cast(cast(doc_id as string) as binary)) % 2"
     other = quality.judge(docs, labels.where(f"{half} = 0")).where("not base_failed").join(labels.where(f"{half} = 1"), "doc_id").collect()
     kept = lambda q: [r.kept for r in other if r.quality == q]
