@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waypath.llm import exact, language, minhash, packing, quality, scoring, sentencepiece, urls, warc, wordpiece
+from waypath.llm import exact, fim, golay, language, minhash, negatives, packing, quality, scoring, sentencepiece, urls, warc, wordpiece
 from waypath.llm.shared import materialize
 from waypath.session import table
 
@@ -56,10 +56,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm_scoring, op2_warc, op3_exact_dedup, op4_token_counts, op5_quality, op6_language, op7_minhash, op8_sentencepiece, op9_urls, op10_packing)
+    found = (op1_lm_scoring, op2_warc, op3_exact_dedup, op4_token_counts, op5_quality, op6_language, op7_minhash, op8_sentencepiece, op9_urls, op10_packing, op11_hard_negatives, op12_simhash, op13_fim)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.SQL, "op3_exact_dedup": exact.SQL, "op9_urls": urls.SQL}
+    return {"op2_warc": warc.SQL, "op3_exact_dedup": exact.SQL, "op9_urls": urls.SQL, "op11_hard_negatives": negatives.SQL, "op13_fim": fim.SQL}
