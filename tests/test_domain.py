@@ -4,11 +4,12 @@ import random
 from datetime import datetime as dt
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waypath.functions import buckets, clock, text
-from waypath.operators import features, learning, metrics, network, rotation, tables
+from waypath.operators import features, learning, metrics, network, ranks, rotation, tables
 from waypath.operators.asof import asof_join
 
 
@@ -183,24 +184,76 @@ def test_distances_have_no_cap_on_length(spark):
     assert dist.count() == n * (n + 1) // 2 and dist.agg(F.max("hops")).first()[0] == n
 
 
-def test_quantiles_equal_numpy(spark):
-    import numpy as np
+def test_keys_keep_the_order_of_doubles(spark):
+    import struct
+
+    tiny = [5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308]
+    near = [float(np.nextafter(2.0**k, side)) for k in (-1022, -1021, -3, 0, 1, 2, 10, 52, 53, 1000, 1023) for side in (0, np.inf)]
+    rng = np.random.default_rng(0)
+    some = [struct.unpack("<d", struct.pack("<q", int(b)))[0] for b in rng.integers(0, 2047 << 52, 3000)]
+    xs = [*tiny, *near, *some, *(2.0**k for k in range(-1074, 1024, 7)), 0.1, 1.0, 3.0, float("inf"), 0.0]
+    xs += [-x for x in xs] + [float("nan"), None]
+    got = ranks.ordered(spark.createDataFrame([(x,) for x in xs], "x double"), "x", "key").collect()
+    for r in got:
+        if r.x is None or r.x != r.x:
+            assert r.key is None
+        else:
+            assert abs(r.key) == struct.unpack("<q", struct.pack("<d", abs(r.x)))[0] and ranks.value_of(r.key) == r.x
+
 
-    rng = np.random.default_rng(3)
-    for x in (rng.normal(size=301), np.repeat([1.0, 2.0, 1e12], [5, 3, 2]), rng.integers(-5, 5, 40).astype(float), np.array([7.0])):
-        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
-        for parts in (4, 1000):
-            assert tables.quantiles(df, "x", [0.0, 0.1, 0.5, 0.99, 1.0], parts) == pytest.approx(list(np.quantile(x, [0.0, 0.1, 0.5, 0.99, 1.0])))
-    assert tables.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
+def test_quantiles_equal_numpy(spark):
+    rng, inf = np.random.default_rng(3), float("inf")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    cols = {
+        "normal": rng.normal(size=301), "wide": rng.normal(size=200) * 10.0 ** rng.integers(-300, 300, 200), "few": np.repeat([1.0, 2.0, 1e12], [5, 3, 2]),
+        "whole": rng.integers(-5, 5, 40).astype(float), "zeros": np.array([0.0, -0.0, 1.0, -1.0]), "one": np.array([7.0]), "close": 1 + np.arange(50) * 2.0**-52,
+    }
+    cols |= {"left": np.array([-inf, 1.0, 2.0, 3.0, 4.0]), "both": np.array([-inf, -inf, 5.0, inf, inf]), "none": np.array([])}
+    longest = max(map(len, cols.values()))
+    rows = [tuple(float(x[i]) if i < len(x) else (None if i % 2 else float("nan")) for x in cols.values()) for i in range(longest)]
+    got = ranks.quantiles(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)), list(cols), shares)
+    for c in ("normal", "wide", "few", "whole", "zeros", "one", "close"):
+        assert got[c] == pytest.approx(list(np.quantile(cols[c], shares)), rel=1e-12), c
+    assert got["left"] == [-inf, -inf, 1.0, 2.0, pytest.approx(3.96), 4.0]
+    assert got["both"] == [-inf, -inf, -inf, 5.0, inf, inf]
+    assert got["none"] == [None] * 6
+
+
+def test_describe_takes_columns_together(spark):
+    df = spark.createDataFrame([(1.0, 4), (2.0, None), (float("-inf"), 6), (None, 9)], "a double, b int")
+    got = {r["column"]: r for r in tables.describe(df, "a", "b").collect()}
+    assert (got["a"].n, got["a"].nulls, got["a"].min, got["a"].q50, got["a"]["max"]) == (3, 1, float("-inf"), 1.0, 2.0)
+    assert (got["b"].n, got["b"].nulls, got["b"].mean, got["b"].q25, got["b"].q75) == (3, 1, pytest.approx(19 / 3), 5.0, 7.5)
+
+
+def test_many_groups_are_narrowed_by_tables(spark, monkeypatch):
+    """With more open ranks than come to the driver."""
+    monkeypatch.setattr(ranks, "FEW", 3)
+    rows = [(None if i % 7 == 0 else i % 7, (i * 2654435761) % (1 << 60)) for i in range(700)]
+    got = {(r["group"], r["rank"]): r["key"] for r in ranks.at_ranks(spark.createDataFrame(rows, "group long, key long"), lambda t: F.array(F.lit(0).cast("long"), t - 1)).collect()}
+    for g in {g for g, _ in rows}:
+        keys = [k for h, k in rows if h == g]
+        assert (got[g, 0], got[g, len(keys) - 1]) == (min(keys), max(keys))
 
 
 def test_strata_are_split_exactly(spark):
     df = spark.createDataFrame([("a" if i % 3 else None, i) for i in range(200)], "k string, i long")
-    got = tables.stratified(df, "k", "i", 25).groupBy("k", "part").count().collect()
+    got = ranks.stratified(df, "k", "i", 25).groupBy("k", "part").count().collect()
     sizes = {None: 67, "a": 133}
     assert {(r.k, r.part): r["count"] for r in got} == {(k, p): (n * 25 // 100 if p == "test" else n - n * 25 // 100) for k, n in sizes.items() for p in ("test", "train")}
 
 
+def test_samples_are_exact_and_alike(spark):
+    df = spark.createDataFrame([(i % 90, i) for i in range(180)], "k long, i long")  # each key twice
+    a, b = ({r.k for r in ranks.sample(x, "k", n=40, seed=3).collect()} for x in (df, df.repartition(5)))
+    assert a == b and len(a) == 20
+    assert ranks.sample(df, "k", n=41).count() == 41 and ranks.sample(df, "k", n=999).count() == 180
+    assert ranks.sample(df, "k", fraction=0.29).count() == 52 and ranks.sample(df, "k", n=0).count() == 0
+    assert {r.k for r in ranks.sample(df, "k", n=40, seed=4).collect()} != a
+    plan = ranks.sample(df, "k", n=40)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
 def test_correlations_of_complete_rows(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 5.0), (9.0, None)], "a double, b double")
     got = {(r.a, r.b): r.r for r in tables.correlations(df, ["a", "b"]).collect()}

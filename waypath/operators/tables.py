@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waypath.session import cut
+from waypath.operators.ranks import quantiles
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -61,43 +60,17 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*cells)))
 
 
-def describe(df: DataFrame, c: str) -> DataFrame:
-    """Count, nulls, mean, sample deviation, extremes and exact quartiles of a column."""
-    x = F.col(c)
-    q = [F.lit(v).cast("double") for v in quantiles(df, c, [0.25, 0.5, 0.75])]
-    return df.agg(F.count(x).alias("n"), F.count_if(x.isNull()).alias("nulls"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max"))
+def describe(df: DataFrame, *cols: str) -> DataFrame:
+    """A row for each column: its name, count, nulls, mean, sample deviation, extremes and exact quartiles.
 
-
-def quantiles(df: DataFrame, c: str, shares: list[float], parts: int = 1000) -> list[float | None]:
-    """Exact quantiles of a column, between neighbours in proportion; None without a value.
-
-    Distinct values are counted and written; then the range of each wanted rank is cut into ``parts`` and
-    narrowed to the part that holds it, until one value is left. No task holds all values, and no more
-    than ``parts`` rows a rank come to the driver at a time.
+    The quartiles of all columns are found together (``ranks.quantiles``); the rest is one more pass.
     """
-    values = cut(df.select(F.col(c).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count("*").alias("n")), "values")
-    lo, hi, total = values.agg(F.min("v"), F.max("v"), F.sum("n")).first()
-    if not total:
-        return [None] * len(shares)
-    places = [q * (total - 1) for q in shares]
-    at = {r: (lo, hi, 0) for p in places for r in (floor(p), ceil(p))}  # rank -> its range, and how many lie below
-    while open_ := sorted({x for x in at.values() if x[0] < x[1]}):
-        mark = F.lit(None).cast("int")
-        for k, (a, b, _) in enumerate(open_):
-            part = F.least(F.floor((F.col("v") - F.lit(a)) / F.lit(max((b - a) / parts, 5e-324))), F.lit(parts - 1)).cast("int") + F.lit(k * parts)
-            mark = F.when(F.col("v").between(a, b), part).otherwise(mark)
-        sums = values.select(mark.alias("part"), "v", "n").where("part is not null").groupBy("part").agg(F.min("v"), F.max("v"), F.sum("n")).orderBy("part").collect()
-        for r, (a, b, below) in list(at.items()):
-            if a < b:
-                k = open_.index((a, b, below))
-                for part, x, y, n in sums:
-                    if part // parts == k:
-                        if r < below + n:
-                            at[r] = x, y, below
-                            break
-                        below += n
-    low, high = ([at[f(p)][0] for p in places] for f in (floor, ceil))
-    return [a + (b - a) * (p - floor(p)) for a, b, p in zip(low, high, places, strict=True)]
+    found = quantiles(df, list(cols), [0.25, 0.5, 0.75])
+    of = lambda c: (F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+    one = df.agg(*(F.struct(*of(c)).alias(f"_{i}") for i, c in enumerate(cols)))
+    quartiles = lambda c: [F.lit(v).cast("double").alias(n) for n, v in zip(("q25", "q50", "q75"), found[c], strict=True)]
+    rows = [F.struct(F.lit(c).alias("column"), *(F.col(f"_{i}.{f}").alias(f) for f in ("n", "nulls", "mean", "std", "min")), *quartiles(c), F.col(f"_{i}.max").alias("max")) for i, c in enumerate(cols)]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def optional(df: DataFrame, wanted: list[str]) -> list[str]:
@@ -135,21 +108,3 @@ def routes(df: DataFrame, places: list[str] = (), pairs: list[tuple[str, str]] =
     if origins:
         df = df.where(F.col("origin").isin(*origins))
     return df.where(F.col("dest").isin(*dests)) if dests else df
-
-
-def stratified(df: DataFrame, stratum: str, key: str, percent: int) -> DataFrame:
-    """``df`` with ``part``: of each stratum exactly the first ``percent`` (rounded down) in the order of a hash
-    of ``key`` are test, the rest train; the same on every run.
-
-    A stratum may hold most rows, so places are counted in 256 ranges of the hash: each row's place is the
-    size of the ranges before its own and its rank inside. Counts are taken before the shuffle.
-    """
-    h = F.md5(F.col(key).cast("string").cast("binary"))
-    rows = df.withColumns({"_h": h, "_b": F.substring(h, 1, 2)})
-    before = W.partitionBy(stratum).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sizes = rows.groupBy(stratum, "_b").agg(F.count("*").alias("_n"))  # 256 rows a stratum
-    sizes = sizes.select(F.col(stratum).alias("_s"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(stratum)).alias("_all"))
-    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(stratum, "_b").orderBy("_h", key)))
-    both = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
-    test = F.col("_before") + F.col("_r") <= F.expr(f"_all * {percent} div 100")
-    return both.select(*df.columns, F.when(test, "test").otherwise("train").alias("part"))

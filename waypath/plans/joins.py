@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waypath.functions import text
-from waypath.operators import rotation, tables
+from waypath.operators import ranks, rotation, tables
 from waypath.operators.asof import asof_join
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained, legs
 from waypath.session import table
@@ -299,7 +299,7 @@ def P13_fill_constant(spark, d):
 def P14_median_impute(spark, d):
     """The median of the training years fills the later ones."""
     x = legs(spark, d)
-    m = tables.quantiles(x.where("year(day) < 2000"), "arr_delay", [0.5])[0]
+    m = ranks.quantiles(x.where("year(day) < 2000"), ["arr_delay"], [0.5])["arr_delay"][0]
     return x.where("year(day) >= 2000").fillna(m, ["arr_delay"]).select("leg_id", "tail", F.round("arr_delay", 4).alias("arr_delay"))
 
 
@@ -311,18 +311,17 @@ def P15_forward_fill(spark, d):
     return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_id") % 3 == 0, F.col("value")), ignorenulls=True).over(w).alias("filled"))
 
 
-@query()
+@query("SELECT event_id, user_id FROM events ORDER BY md5(CAST(event_id AS VARCHAR) || '|7'), event_id LIMIT (SELECT count(*) // 10 FROM events)")
 def P16_sample(spark, d):
-    """A tenth of the rows by a hash of the key: the same rows on every run. A sampling operator."""
-    e = table(spark, d, "events")
-    return e.where(tables.hash_fold(10, "event_id") == 3).select("event_id", "user_id")
+    """Exactly a tenth of the rows, the first in the order of a seeded hash of the key: a sampling operator."""
+    return ranks.sample(table(spark, d, "events").select("event_id", "user_id"), "event_id", fraction=0.1, seed=7)
 
 
 @query("""WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_id, event_type, CASE WHEN r <= n * 25 // 100 THEN 'test' ELSE 'train' END AS part FROM r""")
 def P17_stratified_split(spark, d):
     """A quarter of each event type for testing: the first of the type in the order of a hash of the id."""
-    return tables.stratified(table(spark, d, "events"), "event_type", "event_id", 25).select("event_id", "event_type", "part")
+    return ranks.stratified(table(spark, d, "events"), "event_type", "event_id", 25).select("event_id", "event_type", "part")
 
 
 @query("SELECT s_suppkey, 0.0::DOUBLE AS wind, s_acctbal FROM supplier")

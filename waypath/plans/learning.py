@@ -11,7 +11,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression,
 from pyspark.sql import functions as F
 
 from waypath.functions import buckets
-from waypath.operators import features, learning, metrics, tables
+from waypath.operators import features, learning, metrics, ranks
 from waypath.plans.features import FEATURED, featured
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained
 from waypath.session import scratch, table
@@ -217,7 +217,7 @@ def L15_pca(spark, d):
 @query("SELECT event_id, CAST(value > (SELECT median(value) FROM events) AS INTEGER) AS label FROM events")
 def L16_median_label(spark, d):
     e = table(spark, d, "events")
-    m = tables.quantiles(e, "value", [0.5])[0]
+    m = ranks.quantiles(e, ["value"], [0.5])["value"][0]
     return e.select("event_id", (F.col("value") > m).cast("int").alias("label"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waypath.functions import buckets, clock, text
-from waypath.operators import features, tables
+from waypath.operators import features, ranks, tables
 from waypath.plans.features import FEATURED, featured
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained, legs
 from waypath.session import table
@@ -98,7 +98,7 @@ def D10_many_formats(spark, d):
 def D11_epoch(spark, d):
     """Epoch values whose unit is told by their median."""
     e = _events(spark, d).select("event_id", (F.unix_timestamp(F.col("ts").cast("timestamp")) * 1000).alias("n"))
-    ms = tables.quantiles(e, "n", [0.5])[0] > 1e12
+    ms = ranks.quantiles(e, ["n"], [0.5])["n"][0] > 1e12
     return e.select("event_id", clock.epoch(F.col("n"), ms).alias("at"))
 
 
@@ -431,7 +431,7 @@ SELECT leg_id, {", ".join(f"{_step_sql(v)} AS {v}" for v in features.VARIANTS)}
 def N06_sequences(spark, d):
     """Three steps of 29 features, oldest first, in both variants; missing delays and gaps are their medians."""
     x = featured(spark, d)
-    fill = {c: tables.quantiles(x, c, [0.5])[0] for c in features.TWO_HOP}
+    fill = {c: q[0] for c, q in ranks.quantiles(x, list(features.TWO_HOP), [0.5]).items()}
     r4 = lambda s: F.transform(s, lambda step: F.transform(step, lambda v: F.round(v, 4)))
     return x.select("leg_id", *(r4(features.sequences(x, v, fill)).alias(v) for v in features.VARIANTS))
 

@@ -44,6 +44,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def uncut(df: DataFrame) -> None:
+    """Delete a table that :func:`cut` wrote and no later step reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/waypath/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder of ``spark.checkpoint.dir`` (this machine's where that is unset);
     it is deleted when the driver ends."""
