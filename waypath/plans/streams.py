@@ -69,27 +69,28 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
 
 
 def _rotation(spark, d):
-    state.use_rocksdb(spark)
     e = run.source(spark, d, "events").select(
         F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("leg_id"), F.concat(F.lit("K"), (F.col("user_id") % 20).cast("string")).alias("origin"),
         F.concat(F.lit("K"), (F.col("event_id") % 20).cast("string")).alias("dest"), F.col("ts").cast("timestamp").alias("dep_ts"),
         (F.col("ts") + F.make_dt_interval(mins=F.lit(20))).cast("timestamp").alias("arr_ts"), F.col("value").alias("dep_delay"), F.col("value").alias("arr_delay"),
     )
-    got = run.finished(state.rotation(e), "rotation")
+    end = state.end(e)
+    got = run.closed(e, lambda x: state.rotation(x, "1 day"), end, "rotation", state.ROCKSDB)
     return got.select("key", "leg_id", "prev_leg_id", "prev_arr_delay", "continuity", "leg_number_day", F.round("cum_delay_day", 4).alias("cum_delay_day"))
 
 
 @query(_CHAIN)
 def R06_rotation_state(spark, d):
-    """Equal to the windows over the same rows, as they arrive in order."""
+    """Equal to the windows over the same rows, in whatever order they arrive."""
     return _rotation(spark, d)
 
 
 @query("SELECT event_id, n_name FROM events LEFT JOIN nation ON user_id % 25 = n_nationkey")
 def R07_fresh_lookup(spark, d):
-    """A lookup that is read anew for every batch, so never older than the batch: what a cache that expires stands for."""
-    e = run.source(spark, d, "events").select("event_id", (F.col("user_id") % 25).cast("int").alias("n_nationkey"))
-    return run.finished(e.join(table(spark, d, "nation"), "n_nationkey", "left").select("event_id", "n_name"), "r07")
+    """Lookups that are held for ten minutes. The 25 rows of the dimension stand for the service that is asked."""
+    names = {str(r.n_nationkey): r.n_name for r in table(spark, d, "nation").collect()}
+    e = run.source(spark, d, "events").select("event_id", (F.col("user_id") % 25).cast("string").alias("place"))
+    return run.finished(state.looked_up(e, "place", names.get, "n_name", ttl_seconds=600), "r07", conf=state.EXPIRING).select("event_id", "n_name")
 
 
 @query("SELECT event_id, user_id FROM events")

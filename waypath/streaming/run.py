@@ -9,7 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.session import scratch
+from waypath.session import having, scratch
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -21,18 +21,37 @@ def source(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int |
     return reader.parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def finished(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """All that is there now, run to its end through a checkpointed Parquet sink (whole files, each once)."""
-    spark, path = stream.sparkSession, scratch(stream.sparkSession, label)
+def finished(stream: DataFrame, label: str, mode: str = "append", path: str | None = None, conf: dict[str, str] | None = None) -> DataFrame:
+    """All that is there now, run to its end through a checkpointed Parquet sink (whole files, each once).
+
+    With the ``path`` of an earlier run it goes on from there. The session has the settings ``conf`` while the query starts
+    (a query keeps those it started with), and its own again afterwards.
+    """
+    spark, path = stream.sparkSession, path or scratch(stream.sparkSession, label)
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{path}/rows")
     else:
         writer = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows"))
-    query = writer.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    with having(spark, conf or {}):
+        query = writer.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def closed(stream: DataFrame, made: Callable[[DataFrame], DataFrame], end: DataFrame, label: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """As ``finished`` for ``made(stream)``, and then once more from the same checkpoint with the rows ``end``.
+
+    Those come after everything else and move the watermark past it, so that what still waits is given out.
+    """
+    spark, path = stream.sparkSession, scratch(stream.sparkSession, label)
+    last = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/end")
+    last.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(last)
+    whole = made(stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{path}/end")))
+    finished(whole, label, path=path, conf=conf)
+    end.write.mode("append").parquet(f"{path}/end")
+    return finished(whole, label, path=path, conf=conf)
+
+
 def counted(stream: DataFrame, label: str, **metrics) -> tuple[DataFrame, DataFrame]:
     """As ``finished``, and one row with ``metrics`` over all batches.
 
