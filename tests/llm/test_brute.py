@@ -571,20 +571,64 @@ def test_pipeline_against_plain_versions(spark):
 
 
 @pytest.mark.parametrize("block", [3])
-def test_large_buckets_go_through_the_levels(spark, families, block):
+def test_large_buckets_are_settled_as_crowds(spark, families, block):
     """With chunks of a few classes nearly every bucket is large; no link may be lost."""
     docs = spark.createDataFrame(list(families.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.NearDuplicates(docs, block=block).result().collect()}
     assert got == linked(families)
 
 
-def test_last_level_compares_every_chunk(spark):
-    texts = {i: " ".join(f"{w}" for w in range(i * 100, i * 100 + 30)) for i in range(12)} | {50: " ".join(f"{w}" for w in [*range(300, 329), 7])}
-    near = minhash.NearDuplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block=2)
-    rows = near.reps.selectExpr("1L as bucket", "id")
-    doc = {r.id: r.doc for r in near.reps.collect()}
-    _, comps, _ = near.linked(rows, None, None, True)
-    assert {doc[r.id] for r in comps.collect()} == {3, 50}
+def crowd(rng, n, shared, own, pairs, swapped):
+    """n texts with a passage of ``shared`` shingles and ``own`` ones of their own; of the last ``pairs`` each is
+    another with ``swapped`` words (from its end) changed."""
+    passage = [f"p{i}" for i in range(shared + 4)]
+    texts = {i: passage + [f"o{i}_{j}" for j in range(own)] for i in range(n)}
+    for k in range(pairs):
+        w = texts[n - 1 - 2 * k]
+        texts[n - 2 - 2 * k] = w[: len(w) - swapped] + [f"s{k}_{j}" for j in range(swapped)]
+    keys = list(range(n))
+    rng.shuffle(keys)
+    return {keys[i]: " ".join(w) for i, w in texts.items()}
+
+
+def test_pairs_in_crowds_that_share_a_passage(spark):
+    """Crowds that share 75, 80, 85 and 90 percent of a text: below the limit by the passage alone (the first four) or
+    above it, with pairs just above."""
+    rng, texts, singles = random.Random(1), {}, 0
+    for k, (shared, own, swapped, alike) in enumerate([(300, 100, 57, False), (320, 80, 57, False), (340, 60, 55, False), (342, 38, 20, True), (340, 50, 30, True)]):
+        made = crowd(rng, 160, shared, own, 20, swapped)
+        texts |= {1000 * k + i: t.replace("p", f"c{k}p").replace("o", f"c{k}o").replace("s", f"c{k}s") for i, t in made.items()}
+        singles += 1 if alike else 140
+    want = linked(texts)
+    assert len(set(want.values())) == singles
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_crowds_linked_by_frequent_shingles_alone(spark):
+    """Two passages that overlap: sets of frequent shingles differ, sizes decide who links."""
+    rng, texts = random.Random(8), {}
+    passage = [f"p{i}" for i in range(304)]
+    for i in range(240):
+        part = passage[: 254 + 20 * (i % 3)] if i % 2 else passage[rng.choice([0, 15, 30]) :]
+        texts[i] = " ".join(part + [f"o{i}_{j}" for j in range(rng.choice([0, 10, 40, 90, 150]))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.NearDuplicates(docs, block=16).result().collect()} == linked(texts)
+
+
+@given(st.lists(st.tuples(st.integers(0, 20), st.sets(st.integers(0, 12), min_size=1)), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_overlaps_by_hand(rows):
+    sets = [np.array(sorted(s), np.int64) for _, s in rows]
+    n = np.array([len(s) + extra for extra, s in rows])
+    got = {(int(a), int(b)): int(m) for a, b, m in zip(*minhash.overlaps(np.arange(len(rows)), n, sets), strict=True)}
+    want = {}
+    for a, (_, x) in enumerate(rows):
+        for b, (_, y) in enumerate(rows):
+            i = len(x & y)
+            if a != b and 100 * i >= 75 * (n[a] + n[b] - i):
+                want[a, b] = max(m for m in range(200) if 100 * i >= 75 * (m + n[b] - i))
+    assert got == want
 
 
 def test_edges_of_a_group_are_fewer_than_its_rows(spark):
@@ -592,7 +636,7 @@ def test_edges_of_a_group_are_fewer_than_its_rows(spark):
     rng, base = random.Random(3), [f"w{i}" for i in range(60)]
     docs = [(i, " ".join(edited(rng, base, 0.02))) for i in range(400)]
     near = minhash.NearDuplicates(spark.createDataFrame(docs, "doc_id long, text string"))
-    dealt, _ = near.chunks(near.level(0), False)
+    dealt, _ = near.chunks(near.reps.select(F.explode("bands").alias("bucket"), "id"), False)
     found, rows = near.pairs(dealt, None, False), dealt.groupBy("bucket", "i", "j").count()
     assert 400 < found.count() < dealt.count()
     assert found.where("bucket <> 0").groupBy("bucket", "i", "j").agg(F.count("*").alias("edges")).join(rows, ["bucket", "i", "j"]).where("edges >= count").isEmpty()

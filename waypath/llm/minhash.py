@@ -13,15 +13,15 @@ buckets, star-shaped candidate edges, and links confirmed on full shingle sets.
    are tied by the edge most alike, as in a spanning tree. So a chunk has fewer edges than rows.
 4. Edges are confirmed on the full sets; confirmed ones give components. Where one isn't, its
    chunk is gone through again: all its pairs that may be alike and are still apart are confirmed.
-5. What a large bucket may miss are links between its chunks. If its classes are not all of
-   one component, they go through the next level of LEVELS: buckets of more bins and of similar
-   sizes, which part what a long shared passage had put together, while linked classes still meet.
-   This goes on until no large bucket holds two components; classes that still share one at the
-   last level are compared in blocks, chunk by chunk, so that none is left out there.
+5. What a large bucket may miss are links between its chunks. If its classes are not all of one component, they
+   are a crowd and are settled by their full sets. A shingle that at most BLOCK classes of the crowd hold is a
+   bucket of its own, compared as any small one: rare shingles part a crowd, and a passage that all of it shares
+   never makes a key. Two classes that share no rare shingle can only link by frequent ones. Those with the same
+   frequent shingles link if their sizes allow it, so each is tied to the smallest one that does; different sets of
+   frequent shingles are compared with each other, one row a set, in blocks. These links are exact.
 
-Two classes that link are missed only where no path of other links joins them, and every bucket
-of every level in which they meet is large and puts them in two chunks; a class pair at exactly
-0.75 meets in no bucket of the first level with probability 0.0002.
+Two classes that link are missed only where no path of other links joins them and they meet in no bucket (at exactly
+0.75 with probability 0.0002), or where a pair that meets lies beyond ERRORS standard errors of the estimate.
 
 Rows without words link with nothing. Rows that repeat a doc_id are each judged by their own
 text. A null doc_id links with nothing and keeps a null component.
@@ -47,8 +47,6 @@ BANDS, ROWS = 32, 5
 BINS = 512
 #: Classes of a bucket that are compared as one chunk.
 BLOCK = 64
-#: (bins to a bucket, buckets, first bin) of the levels for large buckets.
-LEVELS = ((7, 50, 160), (28, 18, 0))
 #: Standard errors of the estimate below 0.75 from which a pair isn't confirmed, and above from which it counts as sure
 #: to be; or as many shingles of the smaller set. A pair lies beyond with probability 0.00002.
 ERRORS, FEW = 4.2, 2.0
@@ -265,6 +263,54 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield p.loc[ok, ["a", "b"]]
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, id, other columns) of (id, shingles, other columns)."""
+    for batch in batches:
+        sets = [np.frombuffer(b, np.int64) for b in batch.column("shingles").to_pylist()]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        at = np.repeat(np.arange(len(sets)), n)
+        rest = [c for c in batch.schema.names if c != "shingles"]
+        for i in range(0, len(at), 1 << 18):
+            rows = pa.array(at[i : i + (1 << 18)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)[i : i + (1 << 18)]), *(batch.column(c).take(rows) for c in rest)], names=["shingle", *rest])
+
+
+def overlaps(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(s, t, most) of each two of the sets, both ways: a class with set s, ``most`` shingles or fewer, links to the smallest class of t (``n`` shingles).
+
+    Two classes that share i shingles link if 100 i >= PERCENT (n + m - i).
+    """
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    row, both = np.repeat(np.arange(len(sets)), list(map(len, sets))), np.zeros((len(sets), len(sets)), np.int64)
+    for first in range(0, int(code.max(initial=-1)) + 1, 1 << 16):  # so many columns at a time
+        now = (code >= first) & (code < first + (1 << 16))
+        has = np.zeros((len(sets), 1 << 16), np.float32)
+        has[row[now], code[now] - first] = 1
+        both += (has @ has.T).astype(np.int64)
+    most = (100 + PERCENT) * both // PERCENT - n[None, :]
+    x, y = np.nonzero((most >= n[:, None]) & ~np.eye(len(sets), dtype=bool))
+    return ids[x], ids[y], most[x, y]
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`overlaps` of chunks (bucket, i, j), whose rows come one after the other; a chunk has at most some 2 * BLOCK rows."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        found = overlaps(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [np.array(r[2], np.int64) for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["s", "t", "most"])
+
+    at, held = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if (k := (r["bucket"], r["i"], r["j"])) != at:
+                if held:
+                    yield out(held)
+                at, held = k, []
+            held.append((r["id"], r["sn"], r["often"]))
+    if held:
+        yield out(held)
+
+
 class NearDuplicates:
     """The steps above over one table of documents (doc_id, text); ``keys`` are further columns of the result."""
 
@@ -278,18 +324,6 @@ class NearDuplicates:
         classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("doc"), *same)
         self.reps = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "reps")
 
-    def level(self, k: int, ids: DataFrame | None = None) -> DataFrame:
-        """(bucket, id) of level k: of all classes (0), or of those in ``ids`` (id)."""
-        if k == 0:
-            return self.reps.select(F.explode("bands").alias("bucket"), "id")
-        bins, buckets, first = LEVELS[k - 1]
-        # Sizes of linked classes differ by a third at most. Windows of sizes are twice as wide as that, and begin
-        # elsewhere for each bucket, so linked classes meet in at least half of the windows.
-        size = F.log(F.col("n").cast("double")) / F.lit(2 * float(np.log(4 / 3)))
-        rows = self.reps.select("id", "sketch", size.alias("size")).join(ids, "id")
-        key = lambda i: F.xxhash64(F.substring("sketch", i * bins + (first + 1), F.lit(bins)), i, F.lit(k), F.floor(F.col("size") + i * 0.6180339887 % 1))
-        return rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), key)).alias("bucket"), "id")
-
     def chunks(self, rows: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame | None]:
         """(bucket, i, j, end, id) of the buckets with two rows at least, and (bucket, id) of the large ones. ``whole``: every chunk meets every other."""
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.max("id").alias("most")).where("m > 1")
@@ -297,7 +331,7 @@ class NearDuplicates:
         sizes = materialize(sizes.withColumn("nb", chunks.cast("long")), "sizes")
         end = F.expr("nb > 1 and (id = least or id = most)")
         every = F.expr("nb > 1") if whole else end
-        dealt = rows.join(sizes, "bucket").withColumns({"own": F.expr("pmod(xxhash64(id), nb)"), "end": end, "every": every})
+        dealt = rows.join(sizes, "bucket").withColumns({"own": F.expr("pmod(xxhash64(bucket, id), nb)"), "end": end, "every": every})
         # the numbers of many chunks come from two short lists
         dealt = dealt.withColumn("hi", F.explode(F.expr("if(every, sequence(0L, (nb - 1) div 1024), array(own div 1024))")))
         dealt = dealt.withColumn("c", F.explode(F.expr("if(every, sequence(hi * 1024, least(hi * 1024 + 1023, nb - 1)), array(own))")))
@@ -305,18 +339,18 @@ class NearDuplicates:
         dealt = materialize(dealt.select("bucket", i.alias("i"), j.alias("j"), "end", "id", "nb"), "chunks")
         large = dealt.where("nb > 1").select("bucket", "id").distinct()
         self.spent += [sizes, dealt]
-        return dealt.drop("nb"), None if sizes.where("nb > 1").isEmpty() else large
+        return dealt, None if sizes.where("nb > 1").isEmpty() else large
 
     def pairs(self, dealt: DataFrame, comps: DataFrame | None, every: bool) -> DataFrame:
         """PAIRS (a < b) to confirm; see :func:`compared`."""
-        rows = dealt.join(self.reps.select("id", "n", "bits"), "id")
+        rows = dealt.drop("nb").join(self.reps.select("id", "n", "bits"), "id")
         rows = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id"))
         rows = rows.select("bucket", "i", "j", "end", "id", "n", "comp", "bits").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "end", "id")
         return materialize(rows.drop("end").mapInArrow(lambda it: _pairs(it, every), PAIRS), "pairs")
 
-    def linked(self, rows: DataFrame, links: DataFrame | None, comps: DataFrame | None, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    def linked(self, rows: DataFrame, links: DataFrame | None, comps: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """Links and components after the chunks of ``rows`` (bucket, id), and the rows of large buckets."""
-        dealt, large = self.chunks(rows, whole)
+        dealt, large = self.chunks(rows, False)
         found = self.pairs(dealt, comps, False)
         tried = materialize(found.select("a", "b").distinct(), "tried")
         new = self.confirmed(tried)
@@ -326,7 +360,8 @@ class NearDuplicates:
         failed = materialize(tried.join(new, ["a", "b"], "left_anti"), "failed")
         if not failed.isEmpty():
             again = found.join(failed, ["a", "b"], "left_semi").select("bucket", "i", "j").distinct()
-            more = self.pairs(dealt.join(again, ["bucket", "i", "j"], "left_semi"), comps, True)
+            # chunks of large buckets are settled as a crowd, if need be
+            more = self.pairs(dealt.where("nb = 1").join(again, ["bucket", "i", "j"], "left_semi"), comps, True)
             more = self.confirmed(materialize(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried"))
             if not more.isEmpty():
                 links = links.unionByName(more)
@@ -334,14 +369,19 @@ class NearDuplicates:
         self.spent += [found, tried, failed]
         return links, comps, large
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles) of the classes ``ids`` (id)."""
         ids = materialize(self.reps.select("id", "doc", "digest").join(ids, "id", "left_semi"), "ids")
         picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         texts = self.docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("doc")).select("id", "digest", "text")
-        sets = materialize(by_steps(texts, "text", set_step, "id long, shingles binary"), "sets")
+        # a doc_id may repeat with the same text
+        sets = materialize(by_steps(texts, "text", set_step, "id long, shingles binary").dropDuplicates(["id"]), "sets")
         drop(ids)
+        return sets
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose full sets are similar enough."""
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         for end in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("shingles").alias(f"shingles_{end}")), end)
         links = materialize(pairs.mapInPandas(_linked, "a long, b long").distinct(), "links")
@@ -354,18 +394,59 @@ class NearDuplicates:
         apart = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
         return materialize(rows.join(apart, "bucket", "left_semi").select("bucket", "id"), "mixed")
 
+    def crowd(self, ids: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
+        """Components after all links among the classes ``ids`` (id)."""
+        sets = self.sets(ids)
+        posts = materialize(sets.mapInArrow(_postings, "shingle long, id long"), "postings")
+        often = materialize(posts.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > self.block).select("shingle"), "often")
+        picked = F.broadcast(often) if often.count() <= BROADCAST_IDS else often
+        # rare: groups of at most BLOCK ids; many shingles have the same one
+        groups = posts.join(picked, "shingle", "left_anti").groupBy("shingle").agg(F.sort_array(F.collect_list("id")).alias("ids")).where("size(ids) > 1").select("ids").distinct()
+        rare = materialize(groups.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")), "rare")
+        links, comps, _ = self.linked(rare, links, comps)
+        # frequent: a class counts where they alone could make three quarters of it
+        h = lambda i: F.bit_xor(F.xxhash64("shingle", F.lit(i)))
+        own = posts.join(picked, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("f"), h(1).alias("x"), h(2).alias("y"))
+        own = own.join(self.reps.select("id", "n"), "id").where(100 * F.col("f") >= PERCENT * F.col("n"))
+        own = materialize(own, "frequent")
+        key = ["f", "x", "y"]
+        least = materialize(own.groupBy(*key).agg(F.min(F.struct("n", "id")).alias("s")).select(*key, F.col("s.n").alias("sn"), F.col("s.id").alias("s")), "least")
+        within = own.join(least, key).where(F.col("id") != F.col("s")).where(100 * F.col("f") >= PERCENT * (F.col("n") + F.col("sn") - F.col("f")))
+        sure = materialize(within.select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b")).unionByName(self.across(own, least, sets, picked)), "sure")
+        if not sure.isEmpty():
+            comps = materialize(components(links.unionByName(sure)), "components")
+        self.spent += [sets, posts, often, rare, own, least]
+        return comps
+
+    def across(self, own: DataFrame, least: DataFrame, sets: DataFrame, often: DataFrame) -> DataFrame:
+        """Edges (a, b) between classes of different sets of frequent shingles, by these alone.
+
+        Sets A and B link if the smallest class of each does; then each class of A that is small enough links to the smallest
+        of B. Of all B that with the highest limit takes every class of A that any B takes.
+        """
+        window = F.log(F.col("f").cast("double")) / F.lit(2 * float(np.log(4 / 3)))  # linked sets differ by a third at most
+        rows = least.select(F.explode(F.array(*(F.xxhash64(F.floor(window + k / 2), F.lit(k)) for k in (0, 1)))).alias("bucket"), F.col("s").alias("id"))
+        dealt, _ = self.chunks(rows, True)
+        parts = sets.join(least.select(F.col("s").alias("id"), "sn"), "id").mapInArrow(_postings, "shingle long, id long, sn long").join(often, "shingle", "left_semi")
+        parts = parts.groupBy("id", "sn").agg(F.sort_array(F.collect_list("shingle")).alias("often"))
+        chunk = dealt.drop("nb", "end").join(parts, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+        pairs = materialize(chunk.select("bucket", "i", "j", "id", "sn", "often").mapInArrow(_overlaps, "s long, t long, most long"), "overlaps")
+        best = pairs.groupBy("s").agg(F.max(F.struct("most", "t")).alias("best")).select("s", F.col("best.most").alias("most"), F.col("best.t").alias("t"))
+        members = own.join(least, ["f", "x", "y"]).join(best, "s").where("n <= most")
+        self.spent.append(pairs)
+        edges = pairs.select("s", "t").unionByName(members.select(F.col("id").alias("s"), "t"))
+        return edges.where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+
     def components(self) -> DataFrame:
         """(id, component) of the classes that link with another."""
-        k, rows, links, comps, whole = 0, self.level(0), None, None, False
-        while True:
-            links, comps, large = self.linked(rows, links, comps, whole)
-            left = None if large is None or whole else self.mixed(large, comps)
-            while self.spent:
-                drop(self.spent.pop())
-            if left is None or left.isEmpty():
-                break
-            k, whole = k + 1, k == len(LEVELS)
-            rows = left if whole else materialize(self.level(k, left.select("id").distinct()), "level")
+        links, comps, large = self.linked(self.reps.select(F.explode("bands").alias("bucket"), "id"), None, None)
+        if large is not None:
+            left = self.mixed(large, comps)
+            if not left.isEmpty():
+                comps = self.crowd(left.select("id").distinct(), links, comps)
+            self.spent.append(left)
+        while self.spent:
+            drop(self.spent.pop())
         return comps
 
     def result(self) -> DataFrame:
