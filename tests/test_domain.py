@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waypath.functions import buckets, clock, text
 from waypath.operators import features, learning, metrics, network, ranks, rotation, tables
-from waypath.operators.asof import asof_join
+from waypath.operators.asof import asof_ends, asof_join
 
 
 def one(spark, column, **values):
@@ -62,6 +62,17 @@ def test_asof_forward(flights, weather):
     assert {r.leg_id: r.temp for r in got.collect()} == {1: 23.0, 2: 18.0, 3: None, 4: None, 5: None, 6: None, 7: None, 8: 22.0}
 
 
+def test_asof_of_both_ends_is_one_pass(spark):
+    at = lambda h: dt(2024, 1, 1, h)
+    legs = spark.createDataFrame([(1, "A", "B", at(5), at(9)), (2, "B", "A", at(6), None), (3, None, "A", at(7), at(8)), (4, "A", "C", at(4), at(23))], "leg int, origin string, dest string, dep timestamp_ntz, arr timestamp_ntz")
+    seen = spark.createDataFrame([("A", at(4), 1.0), ("A", at(8), 2.0), ("B", at(9), 3.0), ("B", at(1), 4.0), (None, at(7), 5.0)], "place string, ts timestamp_ntz, wind double")
+    got = asof_ends(legs, seen, ["leg"], ["place"], "ts", ["wind"], "3 hours", {"dep_": (["origin"], "dep"), "arr_": (["dest"], "arr")})
+    assert got.columns == ["leg", "origin", "dest", "dep", "arr", "dep_ts", "dep_wind", "arr_ts", "arr_wind"]
+    assert {r.leg: (r.dep_wind, r.arr_wind) for r in got.collect()} == {1: (1.0, 3.0), 2: (None, None), 3: (None, 2.0), 4: (1.0, None)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("wind#") and plan.count("Window ") == 1
+
+
 def test_asof_on_empty_sides(flights, weather):
     assert asof_join(flights, weather.limit(0), ["station"], "dep", "valid_ts", ["temp"], "2 hours").where("temp is not null").count() == 0
     assert asof_join(flights.limit(0), weather, ["station"], "dep", "valid_ts", ["temp"], "2 hours").count() == 0
@@ -168,6 +179,40 @@ def test_hops_and_centralities(spark):
     assert sum(r.rank for r in network.pagerank(e, 10).collect()) == pytest.approx(1)
 
 
+def plain_centralities(edges):
+    """Every pair's shortest paths, counted from both ends."""
+    out, nodes = {}, sorted({v for e in edges for v in e})
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    hops, paths = {}, {}
+    for s in nodes:
+        hops[s, s], paths[s, s], level = 0, 1, [s]
+        while level:
+            ahead = []
+            for v in level:
+                for w in out.get(v, ()):
+                    if (s, w) not in hops:
+                        hops[s, w], paths[s, w] = hops[s, v] + 1, 0
+                        ahead.append(w)
+                    if hops[s, w] == hops[s, v] + 1:
+                        paths[s, w] += paths[s, v]
+            level = ahead
+    through = {v: sum(paths[s, v] * paths[v, t] / paths[s, t] for s in nodes for t in nodes if len({s, t, v}) == 3 and (s, t) in hops and (s, v) in hops and (v, t) in hops and hops[s, v] + hops[v, t] == hops[s, t]) for v in nodes}
+    far = {s: [h for (a, b), h in hops.items() if a == s and b != s] for s in nodes}
+    return {v: (through[v] / max((len(nodes) - 1) * (len(nodes) - 2), 1), len(far[v]) / sum(far[v]) if far[v] else None) for v in nodes}
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_centralities_equal_all_pairs(spark, most):
+    rng = random.Random(2)
+    edges = sorted({(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(40)} | {("far", "n1"), ("n2", "end")})
+    want = plain_centralities([e for e in edges if e[0] != e[1]])
+    got = network.centralities(network.edge_table(spark, edges + edges[:5]), most).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.betweenness == pytest.approx(want[r.node][0]) and r.closeness == (want[r.node][1] and pytest.approx(want[r.node][1])), r
+
+
 def test_expanding_folds_never_see_the_future():
     folds = list(learning.expanding([2015, 2016, 2017, 2018], 2))
     assert [(f.train, f.test) for f in folds] == [((2015, 2016), 2017), ((2015, 2016, 2017), 2018)]
@@ -272,7 +317,18 @@ def test_permutation_drops_only_what_matters(spark):
     df = spark.createDataFrame([(i, float(i % 2) * 2 - 1, float(i * 7 % 11), i % 2) for i in range(200)], "i long, x double, z double, label int")
     model = learning.pipeline(["x", "z"], [], LogisticRegression(labelCol="label", maxIter=10)).fit(df)
     assert learning.evaluated(model, df, "label")["auc"] == 1
-    assert learning.permuted(model, df, "label", "x", ["i"], 0) < 0.7 and learning.permuted(model, df, "label", "z", ["i"], 0) > 0.99
+    rows = learning.numbered(df.repartition(3))
+    assert learning.permuted(model, rows, 200, "label", "x", 0) < 0.7 and learning.permuted(model, rows, 200, "label", "z", 0) > 0.99
+
+
+def test_every_row_is_a_donor_once(spark):
+    for n in (1, 2, 3, 7, 64, 1000, 5003):
+        rows = learning.numbered(spark.range(n).repartition(5))
+        got = rows.select("_i", learning.shuffled(F.col("_i"), n, 1).alias("a"), learning.shuffled(F.col("_i"), n, 2).alias("b")).collect()
+        assert sorted(r._i for r in got) == sorted(r.a for r in got) == sorted(r.b for r in got) == list(range(n))
+        if n >= 1000:
+            assert sum(r.a == r._i for r in got) < 10 and sum(r.a == r.b for r in got) < 10
+            assert abs(np.corrcoef([r._i for r in got], [r.a for r in got])[0, 1]) < 0.1
 
 
 def test_known_coefficients_are_found(spark):

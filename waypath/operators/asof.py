@@ -48,3 +48,23 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     matched = both.withColumn("_m", match).select("_row.*", *(F.col(f"_m.{f}").alias(prefix + n) for n, f in names.items()))
     alone = left.where(~can)
     return matched.unionByName(alone.select("*", *(F.lit(None).cast(matched.schema[prefix + n].dataType).alias(prefix + n) for n in names)))
+
+
+def asof_ends(left: DataFrame, right: DataFrame, key: list[str], by: list[str], right_on: str, take: list[str], tolerance: str, ends: dict[str, tuple[list[str], str]]) -> DataFrame:
+    """``left`` with matches for several ends of a row in one pass: as :func:`asof_join` for each prefix in ``ends``.
+
+    An end is (columns of ``left`` in the place of ``by``, its time). Each row sends a probe for every end, all of them
+    meet ``right`` in one join, and the matches are put together by ``key``, which names a row of ``left``.
+    So ``right`` is shuffled once, however many ends there are.
+    """
+    whole = F.struct(*left.columns)
+    kind = left.select(whole.alias("_r")).schema["_r"].dataType
+    # the first probe alone carries the row
+    probe = lambda i, cols, on: F.struct(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(cols)), F.col(on).alias("_on"), F.lit(i).alias("_end"), (whole if i == 0 else F.lit(None).cast(kind)).alias("_left"))
+    probes = left.select(*(F.col(c).alias(f"_key{k}") for k, c in enumerate(key)), F.inline(F.array(*(probe(i, *e) for i, e in enumerate(ends.values())))))
+    mine = right.select(*(F.col(b).alias(f"_by{k}") for k, b in enumerate(by)), F.col(right_on).alias("_at0"), *(F.col(c).alias(f"_take{k}") for k, c in enumerate(take)))
+    names = {"_at0": right_on} | {f"_take{k}": c for k, c in enumerate(take)}
+    got = asof_join(probes, mine, [f"_by{k}" for k in range(len(by))], "_on", "_at0", [n for n in names if n != "_at0"], tolerance)
+    match = F.struct(*(F.col(n).alias(c) for n, c in names.items()))
+    sums = got.groupBy(*(f"_key{k}" for k in range(len(key)))).agg(F.first("_left", ignorenulls=True).alias("_left"), *(F.max(F.when(F.col("_end") == i, match)).alias(f"_m{i}") for i in range(len(ends))))
+    return sums.select("_left.*", *(F.col(f"_m{i}.{c}").alias(prefix + c) for i, prefix in enumerate(ends) for c in names.values()))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import product
+from math import isqrt
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypath.operators import metrics
+from waypath.session import cut
 
 
 @dataclass(frozen=True)
@@ -70,15 +72,55 @@ def search(df: DataFrame, time: str, folds: list[Fold], configs: list[dict], bui
     return sorted(out, key=lambda r: (-r["auc"], -r["f1"]))
 
 
-def permuted(model: Model, test: DataFrame, label: str, column: str, key: list[str], repeat: int) -> float:
-    """AUC with ``column``'s values dealt to other rows: both sides in the order of a hash, matched by bucket and place."""
-    from pyspark.sql import Window as W
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written with ``_i``: 0 to n - 1, each once, in no order. Only the parts' sizes are gathered."""
+    rows = cut(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    sizes = dict(rows.groupBy(part.alias("p")).agg(F.count("*")).collect())  # a row for each part
+    first, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        first.append(total)
+        total += sizes.get(p, 0)
+    offset = F.get(F.array(*(F.lit(x).cast("long") for x in first or [0])), part.cast("int"))
+    return rows.withColumn("_i", offset + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
 
-    place = lambda seed: F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64(*key, F.lit(seed)), *key))
-    rows = test.withColumn("_b", F.pmod(F.xxhash64(*key), F.lit(32)))
-    a, b = rows.withColumn("_r", place(2 * repeat)), rows.withColumn("_r", place(2 * repeat + 1)).select("_b", "_r", F.col(column).alias("_v"))
-    shuffled = a.join(b, ["_b", "_r"]).withColumn(column, F.col("_v")).drop("_b", "_r", "_v")
-    return metrics.auc(scored(model, shuffled), label, "score").first()[0]
+
+#: Rounds of the bijection, and steps after which a number that still lies outside would be given up (its chance is nil).
+ROUNDS, WALK = 3, 64
+
+
+def shuffled(i: Column, n: int, seed: int) -> Column:
+    """A bijection of 0 to n - 1 that depends on ``seed``: a Feistel network over a rectangle of a * b >= n numbers.
+
+    Each round adds a hash of one half to the other, which can be undone whatever the hash. A number that leaves
+    the range goes on until it is back in it; fewer than a numbers lie outside.
+    """
+    a = max(1, isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    once = lambda v: _feistel(v, a, b, seed)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(min(a * b - n, WALK) + 1)), once(i.cast("long")), lambda v, _: F.when(v < n, v).otherwise(once(v)))
+
+
+def _feistel(x: Column, a: int, b: int, seed: int) -> Column:
+    """The rounds of :func:`shuffled`; halves are kept in a struct, so that none is worked out twice."""
+    halves = F.struct(F.floor(x / b).alias("l"), F.pmod(x, F.lit(b)).alias("r"))
+    add = lambda v, of, size, k: F.pmod(v + F.pmod(F.xxhash64(of, F.lit(seed), F.lit(k)), F.lit(size)), F.lit(size))
+
+    out = F.array(halves)
+    for k in range(ROUNDS):
+        out = F.transform(out, lambda h, k=k: F.struct(add(h["l"], h["r"], a, 2 * k).alias("l"), h["r"].alias("r")))
+        out = F.transform(out, lambda h, k=k: F.struct(h["l"].alias("l"), add(h["r"], h["l"], b, 2 * k + 1).alias("r")))
+    return F.transform(out, lambda h: h["l"] * b + h["r"])[0]
+
+
+def permuted(model: Model, rows: DataFrame, n: int, label: str, column: str, repeat: int) -> float:
+    """AUC with ``column``'s values dealt to other rows of ``rows`` (:func:`numbered`, ``n`` of them): each value is used once.
+
+    A row's value goes to the row whose number a bijection names; one join by number, as wide as the session's shuffles.
+    """
+    given = rows.select(shuffled(F.col("_i"), n, repeat).alias("_i"), F.col(column).alias("_v"))
+    dealt = rows.join(given, "_i").withColumn(column, F.col("_v")).drop("_i", "_v")
+    return metrics.auc(scored(model, dealt), label, "score").first()[0]
 
 
 def balanced(df: DataFrame, label: str, weight: str) -> DataFrame:

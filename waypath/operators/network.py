@@ -6,8 +6,11 @@ the plan would otherwise grow with the rounds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,5 +92,79 @@ def betweenness(dist: DataFrame) -> DataFrame:
     return nodes.join(sums, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) / pairs).alias("betweenness"))
 
 
+#: Edges (two numbers of four bytes) up to which a graph is broadcast.
+BROADCAST_EDGES = 5_000_000
+
+
+class Adjacency:
+    """A directed graph as a compressed adjacency: the edges of node v are ``targets[starts[v] : starts[v + 1]]``."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, n: int):
+        order = np.argsort(src, kind="stable")
+        self.n, self.targets = n, dst[order].astype(np.int32)
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=n)))).astype(np.int64)
+
+    def edges_of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both ends of all edges that leave ``nodes``."""
+        m = self.starts[nodes + 1] - self.starts[nodes]
+        at = np.repeat(self.starts[nodes] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        return np.repeat(nodes, m), self.targets[at]
+
+    def from_source(self, s: int) -> tuple[np.ndarray, int, int]:
+        """What shortest paths from s add to each node's betweenness, how many nodes s reaches, and the sum of their distances."""
+        hops, paths = np.full(self.n, -1), np.zeros(self.n)
+        hops[s], paths[s] = 0, 1
+        level, levels, reached, far = np.array([s]), [], 0, 0
+        while len(level):
+            v, w = self.edges_of(level)
+            new = np.unique(w[hops[w] < 0])
+            hops[new] = len(levels) + 1
+            ahead = hops[w] == len(levels) + 1
+            v, w = v[ahead], w[ahead]
+            paths += np.bincount(w, paths[v], self.n)
+            levels.append((v, w))
+            level, reached, far = new, reached + len(new), far + len(new) * len(levels)
+        share = np.zeros(self.n)
+        for v, w in reversed(levels):
+            share += np.bincount(v, paths[v] / paths[w] * (1 + share[w]), self.n)
+        share[s] = 0
+        return share, reached, far
+
+
+def centralities(edges: DataFrame, most: int = BROADCAST_EDGES) -> DataFrame:
+    """(node, betweenness, closeness) of distinct edges (src, dst): see :func:`betweenness` and :func:`closeness`.
+
+    Up to ``most`` edges are broadcast (counted first). Sources are dealt to tasks; each goes through the shortest paths
+    from its sources one source at a time and gives one sum a node, whatever the number of sources, so nothing
+    grows with pairs. A larger graph goes through joins of pairs.
+    """
+    spark = edges.sparkSession
+    e = _cut(edges.where("src <> dst").select("src", "dst").distinct())
+    if e.count() > most:
+        dist = distances(e)
+        return betweenness(dist).join(closeness(dist), "node", "left")
+    ends = e.toPandas()
+    names, code = np.unique(np.concatenate((ends["src"], ends["dst"])).astype(str), return_inverse=True)
+    n, m = len(names), len(ends)
+    graph = spark.sparkContext.broadcast((Adjacency(code[:m], code[m:], n), names))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        adjacency, nodes = graph.value
+        sums, reach, far = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+        for p in batches:
+            for s in p["id"]:
+                share, reach[s], far[s] = adjacency.from_source(int(s))
+                sums += share
+        own = np.flatnonzero((sums > 0) | (reach > 0))
+        yield pd.DataFrame({"node": nodes[own], "s": sums[own], "reach": reach[own], "far": far[own]})
+
+    tasks = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = spark.range(0, n, 1, tasks).mapInPandas(run, "node string, s double, reach long, far long")
+    total = parts.groupBy("node").agg(F.sum("s").alias("s"), F.sum("reach").alias("reach"), F.sum("far").alias("far"))
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select(F.col("node").cast("string").alias("node"))
+    pairs = max((n - 1) * (n - 2), 1)
+    return nodes.join(total, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) / pairs).alias("betweenness"), F.expr("try_divide(reach, far)").alias("closeness"))
+
+
 def edge_table(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(pairs, "src string, dst string")

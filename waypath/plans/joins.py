@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waypath.functions import text
 from waypath.operators import ranks, rotation, tables
-from waypath.operators.asof import asof_join
+from waypath.operators.asof import asof_ends, asof_join
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained, legs
 from waypath.session import table
 
@@ -56,9 +56,9 @@ SELECT p.event_id, CASE WHEN p.ts - c.ts <= INTERVAL 24 HOUR THEN c.ts END AS de
 FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
 def J03_asof_both_ends(spark, d):
     p = _observations(spark, d, "purchase").select("event_id", "user_id", "ts")
-    dep, arr = (_observations(spark, d, k).select("user_id", "ts", "value") for k in ("click", "view"))
-    got = asof_join(p, dep, ["user_id"], "ts", "ts", ["value"], "24 hours", prefix="dep_")
-    got = asof_join(got, arr, ["user_id"], "ts", "ts", ["value"], "24 hours", prefix="arr_")
+    p = p.withColumns({"from": F.lit("click"), "to": F.lit("view")})  # what is observed stands for the place
+    seen = table(spark, d, "events").where(F.col("event_type").isin("click", "view")).select("user_id", "event_type", "ts", "value")
+    got = asof_ends(p, seen, ["event_id"], ["user_id", "event_type"], "ts", ["value"], "24 hours", {"dep_": (["user_id", "from"], "ts"), "arr_": (["user_id", "to"], "ts")})
     return got.select("event_id", "dep_ts", "arr_ts")
 
 

@@ -15,6 +15,7 @@ from waypath.operators import features, learning, metrics, ranks
 from waypath.plans.features import FEATURED, featured
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained
 from waypath.session import scratch, table
+from waypath.sources import readers
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -111,7 +112,7 @@ def L06_batch_predict(spark, d):
 @query()
 def L07_grid_search(spark, d):
     x = frame(spark, d)
-    years = [r[0] for r in x.select("year").distinct().orderBy("year").collect()]
+    years = readers.partitions(x, "year")
     folds = list(learning.expanding(years, 4))
     build = lambda c: learning.pipeline(NUMERIC, [], LogisticRegression(labelCol="label", maxIter=5, regParam=c["reg"]))
     return spark.createDataFrame(learning.search(x, "year", folds, learning.grid(reg=[0.0, 0.1]), build, "label"))
@@ -267,7 +268,9 @@ def L20_tree_comparison(spark, d):
 def L21_permutation_importance(spark, d):
     model, test = _fit(spark, d, LogisticRegression(labelCol="label", maxIter=5), categories=())
     whole = learning.evaluated(model, test, "label")["auc"]
-    rows = [(c, whole - sum(learning.permuted(model, test, "label", c, KEY, i) for i in range(5)) / 5) for c in NUMERIC]
+    rows = learning.numbered(test)
+    n = rows.count()
+    rows = [(c, whole - sum(learning.permuted(model, rows, n, "label", c, i) for i in range(5)) / 5) for c in NUMERIC]
     return spark.createDataFrame(rows, "feature string, auc_drop double")
 
 

@@ -56,13 +56,13 @@ def G04_pagerank(spark, d):
 
 @query()
 def G05_betweenness(spark, d):
-    return network.betweenness(network.distances(_edges(spark, d))).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return network.centralities(_edges(spark, d)).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, w AS (SELECT src, dst, 1 AS hops FROM e WHERE src <> dst UNION SELECT w.src, e.dst, hops + 1 FROM w JOIN e ON w.dst = e.src WHERE hops < (SELECT count(DISTINCT src) + count(DISTINCT dst) FROM e) AND w.src <> e.dst),
 s AS (SELECT src, dst, min(hops) AS hops FROM w GROUP BY 1, 2) SELECT src AS node, round(count(*) / sum(hops), 6) AS closeness FROM s GROUP BY 1""")
 def G06_closeness(spark, d):
-    return network.closeness(network.distances(_edges(spark, d))).select("node", F.round("closeness", 6).alias("closeness"))
+    return network.centralities(_edges(spark, d)).where("closeness is not null").select("node", F.round("closeness", 6).alias("closeness"))
 
 
 @query(f"""WITH {_EDGES}, h1 AS (SELECT DISTINCT src AS node FROM e WHERE dst IN ('N1', 'N2') AND src NOT IN ('N1', 'N2')),

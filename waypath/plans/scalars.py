@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import functions as F
 
 from waypath.functions import buckets, clock, text
@@ -452,7 +454,18 @@ def N08_xml_records(spark, d):
     return got.select(F.col("e._id").alias("event_id"), F.col("e._kind").alias("event_type"), F.round("e.v", 2).alias("value"))
 
 
-QUERIES["F03_one_to_many"], SQL["F03_one_to_many"] = N08_xml_records, SQL["N08_xml_records"]
+class _Parts:
+    """A table function: the parts of a text between signs, with their places."""
+
+    def eval(self, text: str, sign: str) -> Iterator[tuple[int, str]]:
+        yield from enumerate((text or "").split(sign), 1)
+
+
+@query("SELECT p_partkey, CAST(i AS INTEGER) AS n, string_split(p_name, ' ')[i] AS part FROM (SELECT p_partkey, p_name, unnest(generate_series(1, len(string_split(p_name, ' ')))) AS i FROM part)")
+def F03_one_to_many(spark, d):
+    """One text to n rows by a user's own table function, joined laterally in SQL."""
+    spark.udtf.register("waypath_parts", F.udtf(_Parts, returnType="n int, part string", useArrow=True))
+    return spark.sql("SELECT p_partkey, n, part FROM {parts}, LATERAL waypath_parts(p_name, ' ')", parts=table(spark, d, "part").select("p_partkey", "p_name"))
 
 
 @query(f"WITH {LEGS} SELECT origin, list_sort(list(DISTINCT dest)) AS dests FROM legs WHERE cancelled = 1 GROUP BY 1")

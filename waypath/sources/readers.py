@@ -95,13 +95,18 @@ def member_lines(rows: DataFrame, columns: list[str], encoding: str = "ISO-8859-
     return lines.where((F.col("n") > 0) & (F.trim("line") != "")).select("member", *(F.trim(F.get(parts, F.lit(i))).alias(c) for i, c in enumerate(columns)))
 
 
+def partitions(df: DataFrame, column: str) -> list[int]:
+    """The whole numbers that name partitions of a table by ``column``, from the paths of its files: no data is read."""
+    found = {part.partition("=")[2] for f in df.inputFiles() for part in f.split("/") if part.startswith(f"{column}=")}
+    return sorted(int(x) for x in found if x.lstrip("-").isdigit())
+
+
 def years(spark: SparkSession, path: str, wanted: list[int], snake: bool = True) -> DataFrame:
     """Years of one table partitioned by ``year``: other years aren't read. A missing year raises."""
     from waypath.functions.text import snake_columns
 
     df = spark.read.parquet(path).where(F.col("year").isin(*wanted))
-    have = {r[0] for r in spark.read.parquet(path).select("year").distinct().collect()}
-    if missing := sorted(set(wanted) - have):
+    if missing := sorted(set(wanted) - set(partitions(spark.read.parquet(path), "year"))):
         raise FileNotFoundError(f"no data for {missing}")
     return snake_columns(df) if snake else df
 
