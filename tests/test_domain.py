@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waypath.functions import buckets, clock, text
-from waypath.operators import features, learning, metrics, network, ranks, rotation, tables
+from waypath.operators import boosting, features, learning, metrics, network, ranks, recurrent, rotation, tables
 from waypath.operators.asof import asof_ends, asof_join
 
 
@@ -352,3 +352,47 @@ def test_search_ranks_by_mean_over_folds(spark, monkeypatch):
     build = lambda c: learning.pipeline(["x"], [], LogisticRegression(labelCol="label", maxIter=c["n"]))
     got = learning.search(df, "year", list(learning.expanding([0, 1, 2, 3], 2)), learning.grid(n=[0, 5]), build, "label")
     assert [g["n"] for g in got] == [5, 0] and got[0]["auc"] == 1 and got[1]["auc"] == 0.5
+
+
+def test_recurrent_gradients():
+    shape, rng = recurrent.Shape(3, 4), np.random.default_rng(1)
+    flat, x = shape.first(2), rng.normal(size=(5, 3, 3))
+    label, amount = np.array([0.0, 1, 1, 0, 1]), rng.normal(size=5)
+    _, grad = recurrent.loss_and_gradient(shape, flat, x, label, amount)
+    for k in range(0, len(flat), 3):
+        up, down = flat.copy(), flat.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        slope = (recurrent.loss_and_gradient(shape, up, x, label, amount)[0] - recurrent.loss_and_gradient(shape, down, x, label, amount)[0]) / 2e-5
+        assert grad[k] == pytest.approx(slope, rel=1e-4, abs=1e-8)
+
+
+def test_recurrent_learns_what_depends_on_the_order_of_steps(spark):
+    """The class is whether the first step is above the last, the amount their difference."""
+    rng = np.random.default_rng(4)
+    steps = rng.normal(size=(1500, 3, 2))
+    rows = [([[float(v) for v in s] for s in x], int(x[0][0] > x[2][0]), float(5 * (x[0][0] - x[2][0]) + 2)) for x in steps] + [(None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "steps array<array<double>>, label int, delay double").repartition(2)
+    got = recurrent.fit(df, "label", "delay", hidden=8, rounds=12, rate=0.03).scored(df.where("steps is not null"))
+    assert metrics.auc(got, "label", "score").first()[0] > 0.97
+    assert metrics.regression(got, "delay", "predicted").first()["rmse"] < 3.5  # half of what a constant leaves
+
+
+def test_boosting_goes_on_from_year_to_year(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = random.Random(3)
+    rows = [(y, x := rng.random(), z := rng.random(), int(x + (0.5 if y > 1 else 0) * z + rng.random() / 4 > 0.7)) for y in (1, 2, 3) for _ in range(200)]
+    df = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(spark.createDataFrame(rows, "year int, x double, z double, label int"))
+    assert boosting.shares(11, 3) == [3, 3, 5] and boosting.shares(2, 3) == [0, 0, 2]
+    model = boosting.by_year(df, "year", [1, 2, 3], "label", rounds=5)
+    assert len(model.trees) == 5 and all(after <= before for before, after in model.losses.values())
+    assert metrics.auc(model.scored(df), "label", "score").first()[0] > 0.9
+    one = boosting.by_year(df.where("year = 1"), "year", [1], "label", rounds=3)
+    same = boosting.by_year(df.where("year = 1").withColumn("all", F.lit(7)), "all", [7], "label", rounds=3)
+    a, b = (sorted(r.score for r in m.scored(df).select("score").collect()) for m in (one, same))
+    assert a == pytest.approx(b)
+    # by hand: the first tree's leaves are means of label - 1/2
+    first = boosting.by_year(df.where("year = 1"), "year", [1], "label", rounds=1, depth=1)
+    leaf = first.margins(df.where("year = 1")).groupBy("margin").agg(F.avg(F.col("label") - 0.5).alias("mean")).collect()
+    assert len(leaf) == 2 and all(r.margin == pytest.approx(r["mean"]) for r in leaf)

@@ -65,7 +65,7 @@ def featured(spark: SparkSession, d: str) -> DataFrame:
     all_legs = legs(spark, d)
     for name, keys in zip(features.VOLUME, (["origin", "dest"], ["origin"], ["dest"]), strict=True):
         x = x.join(all_legs.groupBy(*keys).agg(F.count("*").cast("double").alias(name)), keys)
-    return x.select("leg_id", "tail", "arr_delay", *(F.expr(PLAIN[f]).cast("double").alias(f) if f in PLAIN else F.col(f) for f in features.ALL))
+    return x.select("leg_id", "tail", "day", "arr_delay", *(F.expr(PLAIN[f]).cast("double").alias(f) if f in PLAIN else F.col(f) for f in features.ALL))
 
 
 def _near() -> str:

@@ -11,10 +11,10 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression,
 from pyspark.sql import functions as F
 
 from waypath.functions import buckets
-from waypath.operators import features, learning, metrics, ranks
+from waypath.operators import boosting, features, learning, metrics, ranks, recurrent
 from waypath.plans.features import FEATURED, featured
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained
-from waypath.session import scratch, table
+from waypath.session import cut, scratch, table, uncut
 from waypath.sources import readers
 
 query = Registry()
@@ -103,6 +103,19 @@ def L05_boosted_trees(spark, d):
     return _report(spark, model, test, "boosted")
 
 
+@query()
+def L05_boosted_by_year(spark, d):
+    """Trees that go on from year to year: each training year's loss before and after its trees, and the AUC on the test years."""
+    x = frame(spark, d)
+    years = [y for y in readers.partitions(x, "year") if y < 2000]
+    train, test = split(x)
+    base = learning.pipeline(NUMERIC, [], VectorAssembler(inputCols=["distance"], outputCol="_one")).fit(train)
+    model = boosting.by_year(base.transform(train), "year", years, "label", rounds=12)
+    auc = metrics.auc(model.scored(base.transform(test)), "label", "score").first()[0]
+    rows = [(y, n, *model.losses[y], auc) for y, n in zip(years, boosting.shares(12, len(years)), strict=True) if y in model.losses]
+    return spark.createDataFrame(rows, "year int, trees int, before double, after double, auc double")
+
+
 @query()
 def L06_batch_predict(spark, d):
     model, test = _fit(spark, d, LogisticRegression(labelCol="label", maxIter=10))
@@ -142,10 +155,25 @@ def L10_roc_points(spark, d):
     return metrics.roc(_scored(spark, d), "label", "score").select("score", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 
+@query()
+def L11_recurrent(spark, d):
+    """A recurrent network with two heads over sequences of three legs: the class and the delay."""
+    x = featured(spark, d)
+    fill = {c: q[0] for c, q in ranks.quantiles(x, list(features.TWO_HOP), [0.5]).items()}
+    x = cut(x.select(F.year("day").alias("year"), (F.col("arr_delay") > 15).cast("int").alias("label"), "arr_delay", features.sequences(x, "context_full", fill).alias("steps")), "sequences")
+    train, test = split(x)
+    got = cut(recurrent.fit(train, "label", "arr_delay").scored(test), "scored")
+    e = metrics.regression(got, "arr_delay", "predicted").first()
+    auc = metrics.auc(got, "label", "score").first()[0]
+    for used in (x, got):
+        uncut(used)
+    return spark.createDataFrame([("recurrent", auc, e["mae"], e["rmse"])], "model string, auc double, mae double, rmse double")
+
+
 @query()
 def L11_perceptron(spark, d):
-    """In place of the two-headed recurrent model: two heads over the frame's flat columns, a
-    perceptron of one hidden layer for the class and a linear regression for the delay. No state is carried over steps."""
+    """Two heads over the frame's flat columns: a perceptron of one hidden layer for the class and a linear
+    regression for the delay. No state is carried over steps."""
     train, test = split(frame(spark, d))
     net = MultilayerPerceptronClassifier(labelCol="label", featuresCol="scaled", layers=[len(NUMERIC), 6, 2], maxIter=5, seed=1)
     delay = LinearRegression(labelCol="arr_delay", featuresCol="scaled", predictionCol="delay", maxIter=10)
