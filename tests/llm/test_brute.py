@@ -629,6 +629,19 @@ def test_overlaps_by_hand(rows):
             if a != b and 100 * i >= 75 * (n[a] + n[b] - i):
                 want[a, b] = max(m for m in range(200) if 100 * i >= 75 * (m + n[b] - i))
     assert got == want
+    # few pairs reach what all reach, and keep each one's highest limit
+    few = list(zip(*(x.tolist() for x in minhash.few_edges(*minhash.overlaps(np.arange(len(rows)), n, sets))), strict=True))
+    assert len(few) <= 2 * len(rows)
+    assert {a: max(m for x, _, m in few if x == a) for a, _, _ in few} == {a: max(m for (x, _), m in want.items() if x == a) for a, _ in want}
+
+    def reach(edges):
+        at = list(range(len(rows)))
+        for _ in rows:
+            for a, b in edges:
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    assert reach([e[:2] for e in few]) == reach(want)
 
 
 def test_edges_of_a_group_are_fewer_than_its_rows(spark):

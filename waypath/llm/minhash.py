@@ -292,11 +292,30 @@ def overlaps(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> tuple[np
     return ids[x], ids[y], most[x, y]
 
 
+def few_edges(s: np.ndarray, t: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of :func:`overlaps` of a chunk: for each s the pair with the highest limit, and pairs (with the limit -1, for no further
+    class) that tie each s to the first one that the chunk's pairs reach from it. So at most two rows for each s."""
+    ids, code = np.unique(np.concatenate((s, t)), return_inverse=True)
+    i, j = code[: len(s)], code[len(s) :]
+    first = np.arange(len(ids))
+    while True:  # pairs go both ways
+        new = first.copy()
+        np.minimum.at(new, i, first[j])
+        new = new[new]
+        if (new == first).all():
+            break
+        first = new
+    order = np.lexsort((t, most, s))
+    best = order[np.concatenate((s[order][1:] != s[order][:-1], [True]))] if len(s) else order
+    tied = np.flatnonzero(first != np.arange(len(ids)))
+    return np.concatenate((s[best], ids[tied])), np.concatenate((t[best], ids[first[tied]])), np.concatenate((most[best], np.full(len(tied), -1)))
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """:func:`overlaps` of chunks (bucket, i, j), whose rows come one after the other; a chunk has at most some 2 * BLOCK rows."""
+    """:func:`few_edges` of chunks (bucket, i, j), whose rows come one after the other; a chunk has some 2 * BLOCK rows."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        found = overlaps(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [np.array(r[2], np.int64) for r in rows])
+        found = few_edges(*overlaps(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [np.array(r[2], np.int64) for r in rows]))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["s", "t", "most"])
 
     at, held = None, []
