@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import functions as F
@@ -146,36 +146,53 @@ def S14_snapshots(spark, d):
     return s.select(F.col("snapshot_time").cast("timestamp_ntz").alias("snapshot_time"), "id", "longitude", "latitude")
 
 
-@query("SELECT 3 AS attempts, 'ok' AS result")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 < 3 THEN 'ok ' || s_suppkey END AS result, CAST(least(s_suppkey % 5 + 1, 3) AS INTEGER) AS attempts FROM supplier")
 def S15_retry(spark, d):
-    seen = []
+    """A call for each supplier, to a service that fails as often as the key says; three attempts each."""
+    return fetch.fetched(table(spark, d, "supplier").select("s_suppkey"), _Unsteady(), attempts=3, base=0.0)
 
-    def call():
-        seen.append(1)
-        if len(seen) < 3:
+
+class _Unsteady:
+    """Fails s_suppkey % 5 times, then answers."""
+
+    def __init__(self) -> None:
+        self.asked: dict[int, int] = {}
+
+    def __call__(self, row: dict) -> str:
+        key = row["s_suppkey"]
+        self.asked[key] = self.asked.get(key, 0) + 1
+        if self.asked[key] <= key % 5:
             raise OSError("not yet")
-        return "ok"
+        return f"ok {key}"
 
-    got = fetch.retried(call, base=0.0, sleep=lambda _: None)
-    return spark.createDataFrame([(len(seen), got)], "attempts int, result string")
 
+def _month_middle_is_missing(keys: list[int], a: date, b: date) -> list[tuple]:
+    """A service that fails for every third key if the 15th of a month is asked for."""
+    days = [a + timedelta(days=i) for i in range((b - a).days + 1)]
+    if any(k % 3 == 0 for k in keys) and any(x.day == 15 for x in days):
+        raise OSError("too much")
+    return [(k, x) for k in keys for x in days]
 
-@query("SELECT 'B' AS station, DATE '2019-01-05' AS failed, 39 AS got")
-def S16_shrinking_windows(spark, d):
-    def get(keys, a, b):
-        if "B" in keys and a <= date(2019, 1, 5) <= b:
-            raise OSError("too much")
-        return [(k, a) for k in keys for _ in range((b - a).days + 1)]
 
-    rows, failed = fetch.shrinking(["A", "B"], date(2019, 1, 1), date(2019, 1, 20), get)
-    return spark.createDataFrame([(failed[0][0], failed[0][1], len(rows))], "station string, failed date, got int")
+@query("""WITH r AS (SELECT o_custkey AS key, CAST(min(o_orderdate) AS DATE) AS a, CAST(min(o_orderdate) AS DATE) + CAST(20 + o_custkey % 20 AS INTEGER) AS b FROM orders GROUP BY o_custkey),
+x AS (SELECT key, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM r)
+SELECT key, CAST(count(*) FILTER (NOT (key % 3 = 0 AND day(day) = 15)) AS INTEGER) AS got, CAST(count(*) FILTER (key % 3 = 0 AND day(day) = 15) AS INTEGER) AS failed FROM x GROUP BY 1""")
+def S16_shrinking_windows(spark, d):
+    """Each customer's first weeks, asked for in windows that shrink where they fail."""
+    first = F.min("o_orderdate").cast("date")
+    r = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(first.alias("first"))
+    return fetch.spans(r.withColumn("last", F.date_add("first", (F.col("key") % 20 + 20).cast("int"))), _month_middle_is_missing)
 
 
-@query("""SELECT CAST(greatest(m, DATE '2019-01-15') AS DATE) AS "from", CAST(least(last_day(m), DATE '2019-04-03') AS DATE) AS "to", strftime(m, '%Y-%m') AS label FROM (SELECT unnest(generate_series(DATE '2019-01-01', DATE '2019-04-03', INTERVAL 1 MONTH)) AS m)""")
+@query("""WITH r AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1),
+x AS (SELECT *, unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS m FROM r)
+SELECT o_custkey, CAST(greatest(m, a) AS DATE) AS "from", CAST(least(last_day(m), b) AS DATE) AS "to", strftime(m, '%Y-%m') AS label FROM x""")
 def S17_month_windows(spark, d):
+    """The months between each customer's first and last order."""
     from waypath.functions.clock import month_ranges
 
-    return spark.range(1).select(F.inline(month_ranges(F.to_date(F.lit("2019-01-15")), F.to_date(F.lit("2019-04-03")))))
+    r = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    return r.select("o_custkey", F.inline(month_ranges(F.col("a"), F.col("b"))))
 
 
 @query("SELECT count(*) AS n FROM events")

@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),  # rows to Python may be texts of any length
 }
 
 
@@ -66,6 +67,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not base and own.isDefined():
         base = own.get()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="waypath-")
         spark.sparkContext.setCheckpointDir(base)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 
 def retried(call: Callable[[], object], attempts: int = 4, base: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> object:
     """``call()``, tried again after base * 2^n seconds and a little more at random; the last error is raised."""
@@ -20,6 +23,44 @@ def retried(call: Callable[[], object], attempts: int = 4, base: float = 1.0, sl
     raise ValueError("no attempt was allowed")
 
 
+def fetched(requests: DataFrame, ask: Callable[[dict], object], attempts: int = 4, base: float = 1.0) -> DataFrame:
+    """``requests`` with ``result`` (text) and ``attempts``: each row is a call of ``ask``, made and tried again where the row is.
+
+    A request whose last attempt fails has a null result, so the others aren't lost with it.
+    """
+    names = requests.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            results, tries = [], []
+            for row in p.to_dict("records"):
+                tries.append(0)
+
+                def call(row: dict = row) -> object:
+                    tries[-1] += 1
+                    return ask(row)
+
+                try:
+                    results.append(str(retried(call, attempts, base)))
+                except OSError:
+                    results.append(None)
+            yield p.assign(result=pd.Series(results, p.index, dtype=object), attempts=pd.Series(tries, p.index, dtype="int32"))[[*names, "result", "attempts"]]
+
+    return requests.mapInPandas(run, ", ".join([*(f"`{n}` {t}" for n, t in requests.dtypes), "result string, attempts int"]))
+
+
+def spans(requests: DataFrame, get: Callable[[list, date, date], list], windows: tuple[int, ...] = (15, 7, 3, 1)) -> DataFrame:
+    """(key, got, failed) of ``requests`` (key, first, last): how many rows :func:`shrinking` gets for each key's days, and how many
+    days stay without. Each row's windows are asked for where the row is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            found = [shrinking([k], a, b, get, windows) for k, a, b in zip(p["key"], p["first"], p["last"], strict=True)]
+            yield pd.DataFrame({"key": p["key"], "got": [len(rows) for rows, _ in found], "failed": [len(failed) for _, failed in found]})
+
+    return requests.select("key", "first", "last").mapInPandas(run, f"key {dict(requests.dtypes)['key']}, got int, failed int")
+
+
 def shrinking(keys: list[str], first: date, last: date, get: Callable[[list[str], date, date], list], windows: tuple[int, ...] = (15, 7, 3, 1)) -> tuple[list, list[tuple[str, date]]]:
     """All rows of ``get`` for first..last, and the (key, day) that stayed without.
 
