@@ -11,6 +11,7 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waypath.operators import metrics
@@ -31,6 +32,12 @@ def expanding(values: list[int], least: int) -> Iterator[Fold]:
         yield Fold(tuple(values[:i]), values[i])
 
 
+def expanding_in(df: DataFrame, group: str, value: str, least: int) -> DataFrame:
+    """(``group``, test, train) of distinct values: :func:`expanding` inside each group. A group's values are few (months of a year)."""
+    before = W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return df.select(group, F.col(value).alias("test"), F.collect_list(value).over(before).alias("train")).where(F.size("train") >= least)
+
+
 def pipeline(numeric: list[str], categories: list[str], estimator: Estimator, strategy: str = "median") -> Pipeline:
     """Impute, index and one-hot (an unseen category is all zeros), assemble, fit: all learned from the training part."""
     indexed = [f"{c}_index" for c in categories]

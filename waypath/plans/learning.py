@@ -76,9 +76,12 @@ def L02_rolling_years(spark, d):
     return spark.createDataFrame([(f.test, list(f.train)) for f in learning.expanding(years, 4)], "test long, train array<long>")
 
 
-@query("SELECT x + 1 AS test, range(1, x + 1) AS train FROM range(3, 12) t(x)")
+@query("""WITH m AS (SELECT DISTINCT year(o_orderdate) AS year, month(o_orderdate) AS m FROM orders)
+SELECT year, m AS test, (SELECT list(b.m ORDER BY b.m) FROM m b WHERE b.year = a.year AND b.m < a.m) AS train FROM m a WHERE (SELECT count(*) FROM m b WHERE b.year = a.year AND b.m < a.m) >= 3""")
 def L03_expanding_months(spark, d):
-    return spark.createDataFrame([(f.test, list(f.train)) for f in learning.expanding(list(range(1, 13)), 3)], "test long, train array<long>")
+    """Folds inside each year: a month is tested on the months before it, three at least."""
+    o = table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("year"), F.month("o_orderdate").cast("long").alias("m")).distinct()
+    return learning.expanding_in(o, "year", "m", 3)
 
 
 @query(f"""WITH {CHAINED} SELECT CASE WHEN year(day) < 1999 THEN 'train' WHEN year(day) < 2000 THEN 'validation' ELSE 'test' END AS part, count(*) AS n FROM chained WHERE arr_delay IS NOT NULL GROUP BY 1""")

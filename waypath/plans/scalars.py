@@ -143,11 +143,12 @@ def D18_hour_block(spark, d):
     return _events(spark, d).select("event_id", clock.hour_block(F.hour("ts")).alias("block"))
 
 
-@query("""WITH t AS (SELECT DATE '2019-01-01' AS a, DATE '2019-03-10' AS b)
-SELECT CAST(x AS DATE) AS "from", CAST(least(x + INTERVAL 14 DAY, b) AS DATE) AS "to" FROM (SELECT unnest(generate_series(a, b, INTERVAL 15 DAY)) AS x, b FROM t)""")
+@query("""WITH t AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1)
+SELECT o_custkey, CAST(x AS DATE) AS "from", CAST(least(x + INTERVAL 14 DAY, b) AS DATE) AS "to" FROM (SELECT o_custkey, unnest(generate_series(a, b, INTERVAL 15 DAY)) AS x, b FROM t)""")
 def D19_date_ranges(spark, d):
-    day = lambda s: F.to_date(F.lit(s))
-    return spark.range(1).select(F.inline(clock.day_ranges(day("2019-01-01"), day("2019-03-10"), 15)))
+    """The days between each customer's first and last order, 15 at a time."""
+    r = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    return r.select("o_custkey", F.inline(clock.day_ranges(F.col("a"), F.col("b"), 15)))
 
 
 _LON, _LAT = "-160 + (event_id % 91)", "25 + (event_id % 30)"
@@ -438,9 +439,10 @@ def N06_sequences(spark, d):
     return x.select("leg_id", *(r4(features.sequences(x, v, fill)).alias(v) for v in features.VARIANTS))
 
 
-@query(f"SELECT h, CAST(unnest(generate_series(h - INTERVAL 3 DAY, h + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT unnest([{_H}]) AS h)")
+@query("SELECT h, CAST(unnest(generate_series(h - INTERVAL 3 DAY, h + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS h FROM orders)")
 def N07_explode_dates(spark, d):
-    h = spark.createDataFrame([(x,) for x in HOLIDAYS], "h string").select(F.to_date("h").alias("h"))
+    """Three days to either side of every day with an order."""
+    h = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("h")).distinct()
     return h.select("h", F.explode(F.sequence(F.date_sub("h", 3), F.date_add("h", 3))).alias("day"))
 
 
