@@ -349,8 +349,8 @@ def test_search_ranks_by_mean_over_folds(spark, monkeypatch):
     from pyspark.ml.classification import LogisticRegression
 
     df = spark.createDataFrame([(y, float(i % 2), i % 2) for y in range(4) for i in range(20)], "year int, x double, label int")
-    build = lambda c: learning.pipeline(["x"], [], LogisticRegression(labelCol="label", maxIter=c["n"]))
-    got = learning.search(df, "year", list(learning.expanding([0, 1, 2, 3], 2)), learning.grid(n=[0, 5]), build, "label")
+    build = lambda c: LogisticRegression(labelCol="label", maxIter=c["n"])
+    got = learning.search(df, "year", list(learning.expanding([0, 1, 2, 3], 2)), learning.grid(n=[0, 5]), learning.pipeline(["x"], [], None), build, "label")
     assert [g["n"] for g in got] == [5, 0] and got[0]["auc"] == 1 and got[1]["auc"] == 0.5
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import product
 from math import isqrt
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waypath.operators import metrics
-from waypath.session import cut
+from waypath.session import cut, uncut
 
 
 @dataclass(frozen=True)
@@ -38,14 +39,14 @@ def expanding_in(df: DataFrame, group: str, value: str, least: int) -> DataFrame
     return df.select(group, F.col(value).alias("test"), F.collect_list(value).over(before).alias("train")).where(F.size("train") >= least)
 
 
-def pipeline(numeric: list[str], categories: list[str], estimator: Estimator, strategy: str = "median") -> Pipeline:
-    """Impute, index and one-hot (an unseen category is all zeros), assemble, fit: all learned from the training part."""
+def pipeline(numeric: list[str], categories: list[str], estimator: Estimator | None, strategy: str = "median") -> Pipeline:
+    """Impute, index and one-hot (an unseen category is all zeros), assemble, fit (with an estimator): all learned from the training part."""
     indexed = [f"{c}_index" for c in categories]
     hot = [f"{c}_hot" for c in categories]
     filled = [f"{c}_filled" for c in numeric]
     stages = [Imputer(strategy=strategy, inputCols=numeric, outputCols=filled)] if numeric else []
     stages += [StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep"), OneHotEncoder(inputCols=indexed, outputCols=hot)] if categories else []
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*filled, *hot], outputCol="features", handleInvalid="keep"), estimator])
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*filled, *hot], outputCol="features", handleInvalid="keep"), *([estimator] if estimator else [])])
 
 
 def scored(model: Model, df: DataFrame) -> DataFrame:
@@ -67,15 +68,24 @@ def grid(**values: list) -> list[dict]:
     return [dict(zip(values, x, strict=True)) for x in product(*values.values())]
 
 
-def search(df: DataFrame, time: str, folds: list[Fold], configs: list[dict], build: Callable[[dict], Pipeline], label: str) -> list[dict]:
+def search(df: DataFrame, time: str, folds: list[Fold], configs: list[dict], base: Pipeline, build: Callable[[dict], Estimator], label: str, parallel: int = 4) -> list[dict]:
     """Mean metrics of each configuration over the folds, best first (AUC, then F1).
 
-    ``df`` should be written by ``time``: each fold then reads its own parts alone.
+    A fold is prepared once: ``base`` (to column ``features``) learns from its training part, and both parts are written. All
+    configurations then fit on these, up to ``parallel`` at a time. ``df`` should be written by ``time``: each fold then
+    reads its own parts alone.
     """
-    out = []
-    for config in configs:
-        got = [evaluated(build(config).fit(df.where(F.col(time).isin(*f.train))), df.where(F.col(time) == f.test), label) for f in folds]
-        out.append(config | {k: sum(g[k] or 0.0 for g in got) / len(got) for k in got[0]})
+    got: list[list[dict[str, float]]] = [[] for _ in configs]
+    for f in folds:
+        train, test = df.where(F.col(time).isin(*f.train)), df.where(F.col(time) == f.test)
+        prepared = base.fit(train)
+        train, test = (cut(prepared.transform(x).select("features", label), "fold") for x in (train, test))
+        with ThreadPool(max(1, min(parallel, len(configs)))) as pool:
+            for i, found in enumerate(pool.map(lambda c, a=train, b=test: evaluated(build(c).fit(a), b, label), configs)):
+                got[i].append(found)
+        uncut(train)
+        uncut(test)
+    out = [c | {k: sum(g[k] or 0.0 for g in of) / len(of) for k in of[0]} for c, of in zip(configs, got, strict=True)]
     return sorted(out, key=lambda r: (-r["auc"], -r["f1"]))
 
 

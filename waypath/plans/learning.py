@@ -130,8 +130,8 @@ def L07_grid_search(spark, d):
     x = frame(spark, d)
     years = readers.partitions(x, "year")
     folds = list(learning.expanding(years, 4))
-    build = lambda c: learning.pipeline(NUMERIC, [], LogisticRegression(labelCol="label", maxIter=5, regParam=c["reg"]))
-    return spark.createDataFrame(learning.search(x, "year", folds, learning.grid(reg=[0.0, 0.1]), build, "label"))
+    build = lambda c: LogisticRegression(labelCol="label", maxIter=5, regParam=c["reg"])
+    return spark.createDataFrame(learning.search(x, "year", folds, learning.grid(reg=[0.0, 0.1]), learning.pipeline(NUMERIC, [], None), build, "label"))
 
 
 @query()
