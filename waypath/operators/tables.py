@@ -86,11 +86,6 @@ def widen(df: DataFrame, wanted: list[str], strict: bool = False) -> DataFrame:
     return df.select(*optional(df, wanted))
 
 
-def hash_fold(folds: int, *keys: str) -> Column:
-    """A fold that depends on the key alone: the same for every run and partitioning."""
-    return F.pmod(F.crc32(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).cast("binary")), F.lit(folds))
-
-
 def two_hop_inbound(df: DataFrame, core: list[str]) -> DataFrame:
     """Legs between core places, into them, and into places with a leg into them; none out of core to outside."""
     inside, origin_in = F.col("dest").isin(*core), F.col("origin").isin(*core)

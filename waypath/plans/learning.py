@@ -46,7 +46,7 @@ def split(x):
 
 
 def _score():
-    """A closed form of what is known before departure: good for exact metrics."""
+    """A closed form of a leg's own departure delay and the arrival delay before it, as known once it has left: good for exact metrics."""
     return F.round(F.least(F.greatest(0.5 + F.col("dep_delay") / 100 + F.coalesce("prev1_arr_delay", F.lit(0.0)) / 400, F.lit(0.0)), F.lit(1.0)), 6)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import functions as F
 
 from waypath.functions import buckets, clock, text
-from waypath.operators import features, ranks, tables
+from waypath.operators import features, ranks
 from waypath.plans.features import FEATURED, featured
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained, legs
 from waypath.session import table
