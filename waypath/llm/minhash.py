@@ -413,9 +413,9 @@ class NearDuplicates:
         apart = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
         return materialize(rows.join(apart, "bucket", "left_semi").select("bucket", "id"), "mixed")
 
-    def crowd(self, ids: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
-        """Components after all links among the classes ``ids`` (id)."""
-        sets = self.sets(ids)
+    def crowd(self, rows: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
+        """Components after all links among the classes of the mixed buckets ``rows`` (bucket, id)."""
+        sets = self.sets(rows.select("id").distinct())
         posts = materialize(sets.mapInArrow(_postings, "shingle long, id long"), "postings")
         often = materialize(posts.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > self.block).select("shingle"), "often")
         picked = F.broadcast(often) if often.count() <= BROADCAST_IDS else often
@@ -423,6 +423,12 @@ class NearDuplicates:
         groups = posts.join(picked, "shingle", "left_anti").groupBy("shingle").agg(F.sort_array(F.collect_list("id")).alias("ids")).where("size(ids) > 1").select("ids").distinct()
         rare = materialize(groups.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")), "rare")
         links, comps, _ = self.linked(rare, links, comps)
+        self.spent += [sets, posts, often, rare]
+        left = self.mixed(rows, comps)
+        self.spent.append(left)
+        if left.isEmpty():
+            return comps
+        posts = posts.join(left.select("id").distinct(), "id", "left_semi")  # a link still missed lies in a bucket still mixed
         # frequent: a class counts where they alone could make three quarters of it
         h = lambda i: F.bit_xor(F.xxhash64("shingle", F.lit(i)))
         own = posts.join(picked, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("f"), h(1).alias("x"), h(2).alias("y"))
@@ -434,7 +440,7 @@ class NearDuplicates:
         sure = materialize(within.select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b")).unionByName(self.across(own, least, sets, picked)), "sure")
         if not sure.isEmpty():
             comps = materialize(components(links.unionByName(sure)), "components")
-        self.spent += [sets, posts, often, rare, own, least]
+        self.spent += [own, least]
         return comps
 
     def across(self, own: DataFrame, least: DataFrame, sets: DataFrame, often: DataFrame) -> DataFrame:
@@ -462,7 +468,7 @@ class NearDuplicates:
         if large is not None:
             left = self.mixed(large, comps)
             if not left.isEmpty():
-                comps = self.crowd(left.select("id").distinct(), links, comps)
+                comps = self.crowd(left, links, comps)
             self.spent.append(left)
         while self.spent:
             drop(self.spent.pop())
