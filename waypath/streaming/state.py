@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# Spark also starts a worker beside the driver for keyed state, which doesn't see files added to the job: the processors travel whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Keyed state needs this store.
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 #: And so do values that expire; without batches of no rows, which such state would ask for again and again, a run of what is there comes to an end.
