@@ -41,13 +41,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; ranks sum to one. Dead ends spread evenly."""
+    """(node, rank) after a fixed number of rounds; ranks sum to one. Dead ends spread evenly. No edges give no rows."""
     e = edges.select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("n_out"))
     shares = _cut(e.join(out, "src"))
     nodes = _cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     n = nodes.count()
-    rank = nodes.withColumn("rank", F.lit(1.0 / n)) if n else nodes.withColumn("rank", F.lit(0.0))
+    if not n:
+        return nodes.withColumn("rank", F.lit(0.0))
+    rank = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(rounds):
         sent = _cut(shares.join(rank, shares["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got")))
         lost = 1 - (sent.agg(F.sum("got")).first()[0] or 0.0)
