@@ -16,3 +16,18 @@ SF = "/root/testdata/sf0.001"
 
 def test_a_graph_without_edges_has_no_ranks(spark):
     assert network.pagerank(network.edge_table(spark, []), 20).collect() == []
+
+
+def test_rows_of_a_batch_wait_together(spark):
+    asked: dict = {}
+
+    def ask(row):
+        asked[row["id"]] = asked.get(row["id"], 0) + 1
+        if asked[row["id"]] <= row["id"] % 4:
+            raise OSError
+        return f"ok {row['id']}"
+
+    began = time.monotonic()
+    rows = fetch.fetched(spark.range(200).coalesce(1), ask, attempts=3, base=0.0).collect()
+    assert time.monotonic() - began < 30  # one row after the other: some 75 s of waits
+    assert all(r.attempts == min(r.id % 4 + 1, 3) and r.result == (f"ok {r.id}" if r.id % 4 < 3 else None) for r in rows) and len(rows) == 200

@@ -26,24 +26,31 @@ def retried(call: Callable[[], object], attempts: int = 4, base: float = 1.0, sl
 def fetched(requests: DataFrame, ask: Callable[[dict], object], attempts: int = 4, base: float = 1.0) -> DataFrame:
     """``requests`` with ``result`` (text) and ``attempts``: each row is a call of ``ask``, made and tried again where the row is.
 
+    All rows of a batch are asked, then those that failed wait together for base * 2^n seconds and a little more at random,
+    as in :func:`retried`, and are asked again: a batch waits ``attempts`` - 1 times, however many of its rows fail.
     A request whose last attempt fails has a null result, so the others aren't lost with it.
     """
+    if attempts < 1:
+        raise ValueError("no attempt was allowed")
     names = requests.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            results, tries = [], []
-            for row in p.to_dict("records"):
-                tries.append(0)
-
-                def call(row: dict = row) -> object:
-                    tries[-1] += 1
-                    return ask(row)
-
-                try:
-                    results.append(str(retried(call, attempts, base)))
-                except OSError:
-                    results.append(None)
+            rows = p.to_dict("records")
+            results, tries, open_ = [None] * len(rows), [0] * len(rows), range(len(rows))
+            for n in range(attempts):
+                failed = []
+                for i in open_:
+                    tries[i] += 1
+                    try:
+                        results[i] = str(ask(rows[i]))
+                    except OSError:
+                        failed.append(i)
+                if not failed:
+                    break
+                open_ = failed
+                if n < attempts - 1:
+                    time.sleep(base * 2**n + random.uniform(0, 0.75))
             yield p.assign(result=pd.Series(results, p.index, dtype=object), attempts=pd.Series(tries, p.index, dtype="int32"))[[*names, "result", "attempts"]]
 
     return requests.mapInPandas(run, ", ".join([*(f"`{n}` {t}" for n, t in requests.dtypes), "result string, attempts int"]))
