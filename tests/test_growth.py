@@ -31,3 +31,9 @@ def test_rows_of_a_batch_wait_together(spark):
     rows = fetch.fetched(spark.range(200).coalesce(1), ask, attempts=3, base=0.0).collect()
     assert time.monotonic() - began < 30  # one row after the other: some 75 s of waits
     assert all(r.attempts == min(r.id % 4 + 1, 3) and r.result == (f"ok {r.id}" if r.id % 4 < 3 else None) for r in rows) and len(rows) == 200
+
+
+def test_volumes_do_not_move_the_legs(spark):
+    with having(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = featuring.featured(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3

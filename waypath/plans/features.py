@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from waypath.operators import features
 from waypath.plans.legs import CHAINED, chained, legs
+from waypath.session import cut
 
 #: Month and day of the stand-in's holidays, every year.
 HOLIDAYS = ((1, 1), (7, 4), (11, 25), (12, 25))
@@ -47,7 +48,8 @@ OTHER = (*features.VOLUME, "aircraft_leg_number_day", "relative_leg_position", "
 def featured(spark: SparkSession, d: str) -> DataFrame:
     """Completed legs with every feature of ``features.ALL``.
 
-    Volumes are counts joined back (a route, origin or destination is one small row). A tail's day is short,
+    Volumes are counts joined back: a route, origin or destination is one small row, so they are broadcast and the legs stay where
+    they are. Routes are counted once, written, and added up by either end. A tail's day is short,
     so its windows are narrow; they share the chain's shuffle by tail.
     """
     x = chained(spark, d).where("arr_delay is not null")
@@ -62,9 +64,9 @@ def featured(spark: SparkSession, d: str) -> DataFrame:
         "aircraft_leg_number_day": number.cast("double"), "relative_leg_position": number / F.count("*").over(mine),
         "cum_dep_delay_aircraft_day": F.coalesce(F.sum("dep_delay").over(before), F.lit(0.0)), "cum_arr_delay_aircraft_day": F.coalesce(F.sum("arr_delay").over(before), F.lit(0.0)),
     })
-    all_legs = legs(spark, d)
+    routes = cut(legs(spark, d).groupBy("origin", "dest").agg(F.count("*").alias("n")), "routes")
     for name, keys in zip(features.VOLUME, (["origin", "dest"], ["origin"], ["dest"]), strict=True):
-        x = x.join(all_legs.groupBy(*keys).agg(F.count("*").cast("double").alias(name)), keys)
+        x = x.join(F.broadcast(routes.groupBy(*keys).agg(F.sum("n").cast("double").alias(name))), keys)
     return x.select("leg_id", "tail", "day", "arr_delay", *(F.expr(PLAIN[f]).cast("double").alias(f) if f in PLAIN else F.col(f) for f in features.ALL))
 
 
