@@ -37,3 +37,15 @@ def test_volumes_do_not_move_the_legs(spark):
     with having(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         plan = featuring.featured(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 3
+
+
+def test_quantile_keys_and_scores_are_written_once(spark, monkeypatch):
+    df = spark.range(101).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).alias("y"))
+    keys, scores = _counted(monkeypatch, ranks, "cut"), _counted(monkeypatch, metrics, "cut")
+    assert ranks.quantiles(df, ["x"], [0.5]) == {"x": [50.0]} and [a[1] for a in keys] == ["keys"]
+    metrics.auc(df, "y", "x").collect()
+    assert [a[1] for a in scores] == ["scores"]
+
+
+def test_sequences_show_only_what_they_list():
+    assert len(features.SHOWN) == 34 and set(features.TWO_HOP) <= set(features.SHOWN)

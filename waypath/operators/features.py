@@ -40,6 +40,10 @@ STEP = KNOWN + AROUND
 VARIANTS = {"context_full": AROUND, "delay_only": SCHEDULE}
 
 
+#: The columns that :func:`sequences` reads.
+SHOWN = tuple(dict.fromkeys((*(f"prev{h}_{k}" for h in (1, 2) for k in ("arr_delay", "dep_delay", "arr_del15", "dep_del15")), "time_since_prev2_arrival_minutes", "prev1_turnaround_minutes", *AROUND)))
+
+
 def sequences(df: DataFrame, variant: str, fill: dict[str, float]) -> Column:
     """Three steps of STEP, oldest first: two earlier legs by their delays and the gap to now, the current one by
     the variant's features. What a step doesn't show is 0; what it shows and lacks is taken from ``fill``."""

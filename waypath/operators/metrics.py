@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waypath.session import cut
+
 
 def by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     """(score, pos, neg) of each distinct score: what curves and areas need, however many rows there are."""
@@ -16,8 +18,10 @@ def cumulated(scores: DataFrame, step: int = 1000) -> DataFrame:
     """``scores`` with ``tp`` and ``fp``: positives and negatives at or above each score.
 
     Sums run inside ranges of scores, each added to the total of the ranges above it, so no
-    task holds all distinct scores. ``step`` ranges are cut between the extremes.
+    task holds all distinct scores. ``step`` ranges are cut between the extremes. ``scores`` are written first:
+    they are read for the extremes, for the ranges and by what is made of the sums, and would be worked out each time.
     """
+    scores = cut(scores, "scores")
     lo, hi = scores.agg(F.min("score"), F.max("score")).first()
     if lo is None:
         return scores.select("*", F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))

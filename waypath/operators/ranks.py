@@ -72,13 +72,14 @@ def at_ranks(values: DataFrame, ranks: Callable[[Column], Column]) -> DataFrame:
         open_ = found.where("lo < hi")
         if all(r.lo == r.hi for r in rows) if few else open_.isEmpty():
             break
-        open_ = open_.withColumnsRenamed({"group": "_g"})
-        open_ = F.broadcast(open_) if few else open_
-        inside = values.join(open_, values["group"].eqNullSafe(open_["_g"]) & F.col("key").between(F.col("lo"), F.col("hi")))
-        cell = F.expr(f"shiftright(key - lo, greatest(0, length(bin(hi - lo)) - {BITS}))")
-        again = inside.groupBy("group", F.col("lo").alias("from"), cell.alias("cell")).agg(
-            F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("total").alias("total"), F.first("before").alias("below"), F.first("ranks").alias("ranks")
-        )
+        # rows meet three numbers of a range and are counted by hash; what else it has is joined to the counts
+        range_ = open_.select(F.col("group").alias("_g"), "lo", "hi", F.expr(f"greatest(0, length(bin(hi - lo)) - {BITS})").alias("_s"))
+        range_ = F.broadcast(range_) if few else range_
+        inside = values.join(range_, values["group"].eqNullSafe(range_["_g"]) & F.col("key").between(F.col("lo"), F.col("hi")))
+        again = inside.groupBy("group", F.col("lo").alias("from"), F.expr("shiftright(key - lo, _s)").alias("cell")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        rest = open_.select(F.col("group").alias("_g"), F.col("lo").alias("_lo"), "total", F.col("before").alias("below"), "ranks")
+        rest = F.broadcast(rest) if few else rest
+        again = again.join(rest, again["group"].eqNullSafe(rest["_g"]) & (again["from"] == rest["_lo"])).drop("_g", "_lo")
         earlier = W.partitionBy("group", "from").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
         cells = again.withColumn("before", F.col("below") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     done = spark.createDataFrame(done.collect(), done.schema) if not held else cut(done, "at-ranks")
@@ -94,13 +95,15 @@ def quantiles(df: DataFrame, cols: list[str], shares: list[float]) -> dict[str,
     lies between a finite and an infinite one is infinite (between both infinities the negative one).
     """
     stack = F.inline(F.array(*(F.struct(F.lit(i).alias("group"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols))))
-    values = ordered(df.select(stack).where("x is not null and not isnan(x)"), "x", "key").drop("x")
+    # written: each pass filters by the key, and a filter that is moved below would work it out again, many times over
+    values = cut(ordered(df.select(stack).where("x is not null and not isnan(x)"), "x", "key").drop("x"), "keys")
     places = F.array(*(F.lit(float(q)) for q in shares))
     at = lambda total: F.array_distinct(F.flatten(F.transform(places, lambda q: F.array(F.floor(q * (total - 1)), F.ceil(q * (total - 1))))))
     got: dict[int, dict[int, float]] = {i: {} for i in range(len(cols))}
     total = dict.fromkeys(got, 0)
     for r in at_ranks(values, at).collect():
         got[r["group"]][r["rank"]], total[r["group"]] = value_of(r["key"]), r["total"]
+    uncut(values)
 
     def between(i: int, q: float) -> float | None:
         if not total[i]:

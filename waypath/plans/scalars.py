@@ -10,7 +10,7 @@ from waypath.functions import buckets, clock, text
 from waypath.operators import features, ranks
 from waypath.plans.features import FEATURED, featured
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained, legs
-from waypath.session import table
+from waypath.session import cut, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -433,10 +433,10 @@ def _step_sql(variant: str) -> str:
 SELECT leg_id, {", ".join(f"{_step_sql(v)} AS {v}" for v in features.VARIANTS)} FROM featured f, m""")
 def N06_sequences(spark, d):
     """Three steps of 29 features, oldest first, in both variants; missing delays and gaps are their medians."""
-    x = featured(spark, d)
-    fill = {c: q[0] for c, q in ranks.quantiles(x, list(features.TWO_HOP), [0.5]).items()}
-    r4 = lambda s: F.transform(s, lambda step: F.transform(step, lambda v: F.round(v, 4)))
-    return x.select("leg_id", *(r4(features.sequences(x, v, fill)).alias(v) for v in features.VARIANTS))
+    x = cut(featured(spark, d).select("leg_id", *features.SHOWN), "featured")  # the windows run once, quantiles read this
+    fill = {c: q[0] for c, q in ranks.quantiles(x, list(features.TWO_HOP), [0.5]).items() if q[0] is not None}
+    x = x.select("leg_id", *(F.round(F.coalesce(c, F.lit(fill[c])) if c in fill else c, 4).alias(c) for c in features.SHOWN))
+    return x.select("leg_id", *(features.sequences(x, v, {}).alias(v) for v in features.VARIANTS))
 
 
 @query("SELECT h, CAST(unnest(generate_series(h - INTERVAL 3 DAY, h + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS h FROM orders)")
@@ -465,8 +465,9 @@ class _Parts:
 
 @query("SELECT p_partkey, CAST(i AS INTEGER) AS n, string_split(p_name, ' ')[i] AS part FROM (SELECT p_partkey, p_name, unnest(generate_series(1, len(string_split(p_name, ' ')))) AS i FROM part)")
 def F03_one_to_many(spark, d):
-    """One text to n rows by a user's own table function, joined laterally in SQL."""
-    spark.udtf.register("waypath_parts", F.udtf(_Parts, returnType="n int, part string", useArrow=True))
+    """One text to n rows by a user's own table function, joined laterally in SQL. Rows go to it pickled in batches:
+    by Arrow, the result of each single row would be a batch of its own."""
+    spark.udtf.register("waypath_parts", F.udtf(_Parts, returnType="n int, part string", useArrow=False))
     return spark.sql("SELECT p_partkey, n, part FROM {parts}, LATERAL waypath_parts(p_name, ' ')", parts=table(spark, d, "part").select("p_partkey", "p_name"))
 
 
