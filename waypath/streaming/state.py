@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -69,24 +70,25 @@ class Rotation(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "bucket long", f"legs array<struct<{', '.join(f'{n}: {t}' for n, t in (c.split() for c in LEG.split(', ')))}>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        earliest, found = None, []
+        earliest, found, held = None, [], self.timer.exists()  # a key without a timer has no legs that wait
         for row in rows:
             found.append(tuple(row[c] for c in _FIELDS))
             earliest = found[-1][0] if earliest is None else min(earliest, found[-1][0])
             if len(found) == AT_ONCE:
-                self._wait(found)
-                found = []
-        self._wait(found)
+                self._wait(found, held)
+                found, held = [], True
+        self._wait(found, held)
         if earliest is not None:
             self._ring(-(-earliest // 1000))
         return iter(())
 
-    def _wait(self, legs: list[tuple]) -> None:
+    def _wait(self, legs: list[tuple], some: bool) -> None:
+        """Put ``legs`` into their buckets; ``some`` may be there already. A call to the state costs as much as many rows."""
         buckets: dict[int, list] = {}
         for leg in legs:
             buckets.setdefault(leg[0] // BUCKET, []).append(leg)
         for bucket, new in buckets.items():
-            held = self.waiting.getValue((bucket,))[0] if self.waiting.containsKey((bucket,)) else []
+            held = self.waiting.getValue((bucket,))[0] if some and self.waiting.containsKey((bucket,)) else []
             self.waiting.updateValue((bucket,), ([*map(tuple, held), *new],))
 
     def _ring(self, at: int) -> None:
@@ -102,7 +104,8 @@ class Rotation(StatefulProcessor):
         until = timerValues.getCurrentWatermarkInMs() * 1000
         last = tuple(self.last.get()) if self.last.exists() else None
         self.timer.clear()
-        for bucket in sorted(k[0] for k in self.waiting.keys()):
+        through, buckets = [], sorted(k[0] for k in self.waiting.keys())
+        for bucket in buckets:
             if bucket * BUCKET > until:
                 self._ring(-(-min(leg[0] for leg in self.waiting.getValue((bucket,))[0]) // 1000))
                 break
@@ -114,7 +117,12 @@ class Rotation(StatefulProcessor):
                 self.waiting.updateValue((bucket,), (left,))
                 self._ring(-(-min(leg[0] for leg in left) // 1000))
                 break
-            self.waiting.removeKey((bucket,))
+            through.append(bucket)
+        if len(through) == len(buckets):
+            self.waiting.clear()
+        else:
+            for bucket in through:
+                self.waiting.removeKey((bucket,))
         if last is not None:
             self.last.update(last)
 
@@ -145,7 +153,10 @@ def end(stream: DataFrame) -> DataFrame:
 
 
 class Lookups(StatefulProcessor):
-    """Values of a lookup, fetched when they aren't held or have expired."""
+    """Values of a lookup, fetched when they aren't held or have expired.
+
+    Rows come and go in Arrow batches: of single rows, Spark's worker would gather all that a key gives out in a batch of the stream.
+    """
 
     def __init__(self, fetch: Callable[[str], str | None], column: str, names: list[str], value: str, ttl_ms: int):
         self.fetch, self.column, self.names, self.value, self.ttl_ms = fetch, column, names, value, ttl_ms
@@ -153,12 +164,13 @@ class Lookups(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getMapState("held", "id string", "value string", ttlDurationMs=self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen: dict[str | None, str | None] = {None: None}
-        out = Row(*self.names, self.value)
-        for row in rows:
-            id_ = row[self.column]
-            if id_ not in seen:
+        for p in rows:
+            ids = [None if pd.isna(x) else x for x in p[self.column]]
+            for id_ in dict.fromkeys(ids):
+                if id_ in seen:
+                    continue
                 if self.held.containsKey((id_,)):
                     seen[id_] = self.held.getValue((id_,))[0]
                 elif (value := self.fetch(id_)) is not None:
@@ -166,7 +178,7 @@ class Lookups(StatefulProcessor):
                     seen[id_] = value
                 else:
                     seen[id_] = None
-            yield out(*(row[c] for c in self.names), seen[id_])
+            yield p[self.names].assign(**{self.value: pd.Series([seen[i] for i in ids], p.index, dtype=object)})
 
     def close(self) -> None:
         pass
@@ -182,4 +194,4 @@ def looked_up(stream: DataFrame, column: str, fetch: Callable[[str], str | None]
     salt = F.pmod(F.xxhash64(*stream.columns), F.lit(copies))
     dealt = stream.withColumn("_shard", F.pmod(F.xxhash64(column, salt), F.lit(shards)))
     kind = T.StructType([*stream.schema.fields, T.StructField(value, T.StringType())])
-    return dealt.groupBy("_shard").transformWithState(Lookups(fetch, column, stream.columns, value, int(ttl_seconds * 1000)), kind, "Append", "ProcessingTime")
+    return dealt.groupBy("_shard").transformWithStateInPandas(Lookups(fetch, column, stream.columns, value, int(ttl_seconds * 1000)), kind, "Append", "ProcessingTime")
