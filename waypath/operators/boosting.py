@@ -8,7 +8,8 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypath.session import cut, uncut
+from waypath.operators.learning import fitted
+from waypath.session import SMALL_GROUPS, cut, uncut
 
 
 def shares(rounds: int, years: int) -> list[int]:
@@ -56,7 +57,7 @@ def by_year(df: DataFrame, time: str, years: list[int], label: str, rounds: int
     """
     model = Boosted(rate)
     for year, trees in zip(years, shares(rounds, len(years)), strict=True):
-        rows = cut(model.margins(df.where(F.col(time) == year).select("features", label)), "margins")
+        rows = cut(model.margins(df.where(F.col(time) == year).select("features", label)), "margins", **SMALL_GROUPS)
         if rows.isEmpty():
             continue
         before, new = _loss(rows, label), []
@@ -64,7 +65,7 @@ def by_year(df: DataFrame, time: str, years: list[int], label: str, rounds: int
             now = model.margins(rows, new, F.col("margin")) if new else rows
             gradient = now.withColumn("_gradient", F.col(label) - chance(F.col("margin")))
             fit = DecisionTreeRegressor(labelCol="_gradient", featuresCol="features", predictionCol="_step", maxDepth=depth, seed=seed + k)
-            new.append(fit.fit(gradient))
+            new.append(fitted(fit, gradient))
         model.trees += new
         model.losses[year] = before, _loss(model.margins(rows, new, F.col("margin")), label)
         uncut(rows)

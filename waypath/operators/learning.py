@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waypath.operators import metrics
-from waypath.session import cut, uncut
+from waypath.session import SMALL_GROUPS, SMALL_SPLITS, cut, having, uncut
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,19 @@ def pipeline(numeric: list[str], categories: list[str], estimator: Estimator | N
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*filled, *hot], outputCol="features", handleInvalid="keep"), *([estimator] if estimator else [])])
 
 
+def fitted(estimator: Estimator, df: DataFrame) -> Model:
+    """``estimator`` fitted to ``df``, whose files are read in small splits meanwhile (see ``session.SMALL_SPLITS``)."""
+    with having(df.sparkSession, SMALL_SPLITS):
+        return estimator.fit(df)
+
+
+def prepared(base: Pipeline, train: DataFrame, test: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both parts with ``features`` as ``base`` makes them (learned from ``train``) and the columns ``keep``, written: several
+    estimators then fit to what was worked out once."""
+    model = fitted(base, train)
+    return tuple(cut(model.transform(x).select("features", *keep), "prepared", **SMALL_GROUPS) for x in (train, test))
+
+
 def scored(model: Model, df: DataFrame) -> DataFrame:
     """``df`` with column ``score``: the probability of class 1."""
     return model.transform(df).withColumn("score", vector_to_array("probability")[1])
@@ -78,9 +91,8 @@ def search(df: DataFrame, time: str, folds: list[Fold], configs: list[dict], bas
     got: list[list[dict[str, float]]] = [[] for _ in configs]
     for f in folds:
         train, test = df.where(F.col(time).isin(*f.train)), df.where(F.col(time) == f.test)
-        prepared = base.fit(train)
-        train, test = (cut(prepared.transform(x).select("features", label), "fold") for x in (train, test))
-        with ThreadPool(max(1, min(parallel, len(configs)))) as pool:
+        train, test = prepared(base, train, test, [label])
+        with having(df.sparkSession, SMALL_SPLITS), ThreadPool(max(1, min(parallel, len(configs)))) as pool:
             for i, found in enumerate(pool.map(lambda c, a=train, b=test: evaluated(build(c).fit(a), b, label), configs)):
                 got[i].append(found)
         uncut(train)
@@ -130,14 +142,43 @@ def _feistel(x: Column, a: int, b: int, seed: int) -> Column:
     return F.transform(out, lambda h: h["l"] * b + h["r"])[0]
 
 
-def permuted(model: Model, rows: DataFrame, n: int, label: str, column: str, repeat: int) -> float:
-    """AUC with ``column``'s values dealt to other rows of ``rows`` (:func:`numbered`, ``n`` of them): each value is used once.
+def dealt(rows: DataFrame, n: int, columns: list[str], seed: int) -> DataFrame:
+    """``rows`` (:func:`numbered`, ``n`` of them) with ``_given``: the values of ``columns`` of another row, each row's once.
 
-    A row's value goes to the row whose number a bijection names; one join by number, as wide as the session's shuffles.
+    A row's values go to the row whose number a bijection names; one join by number for all columns, as wide as the session's shuffles.
     """
-    given = rows.select(shuffled(F.col("_i"), n, repeat).alias("_i"), F.col(column).alias("_v"))
-    dealt = rows.join(given, "_i").withColumn(column, F.col("_v")).drop("_i", "_v")
-    return metrics.auc(scored(model, dealt), label, "score").first()[0]
+    given = rows.select(shuffled(F.col("_i"), n, seed).alias("_i"), F.struct(*columns).alias("_given"))
+    return rows.join(given, "_i")
+
+
+def permuted(model: Model, test: DataFrame, key: int, label: str, c: str, seed: int) -> float:
+    """AUC with the values of column ``c`` dealt to other rows of ``test`` (:func:`numbered`, ``key`` of them, or :func:`dealt`
+    by ``seed`` already): each value is used once."""
+    if "_given" not in test.columns:
+        test = dealt(test, key, [c], seed)
+    return metrics.auc(scored(model, test.withColumn(c, F.col("_given")[c]).drop("_i", "_given")), label, "score").first()[0]
+
+
+def importances(model: Model, test: DataFrame, label: str, columns: list[str], whole: float, repeats: int = 5, parallel: int = 4) -> list[tuple[str, float]]:
+    """(column, ``whole`` less the mean AUC of its permutations). The rows are dealt once for a repeat, for all
+    columns, and written; up to ``parallel`` columns are judged at a time."""
+    used = {f for s in getattr(model, "stages", []) for f in _inputs(s)}
+    rows = numbered(test.select(label, *(x for x in test.columns if x != label and (x in columns or x in used))))
+    n, found = rows.count(), {c: [] for c in columns}
+    for i in range(repeats):
+        given = cut(dealt(rows, n, columns, i), "dealt")
+        with ThreadPool(max(1, min(parallel, len(columns)))) as pool:
+            for c, auc in zip(columns, pool.map(lambda c, g=given, i=i: permuted(model=model, test=g, key=n, label=label, c=c, seed=i), columns), strict=True):
+                found[c].append(auc)
+        uncut(given)
+    uncut(rows)
+    return [(c, whole - sum(found[c]) / repeats) for c in columns]
+
+
+def _inputs(stage: Model) -> list[str]:
+    """The columns that a stage reads."""
+    named = (stage.getOrDefault(p) for p in stage.params if p.name in ("inputCol", "inputCols") and stage.isDefined(p))
+    return [c for x in named for c in ([x] if isinstance(x, str) else x)]
 
 
 def balanced(df: DataFrame, label: str, weight: str) -> DataFrame:

@@ -14,7 +14,7 @@ from waypath.functions import buckets
 from waypath.operators import boosting, features, learning, metrics, ranks, recurrent
 from waypath.plans.features import FEATURED, featured
 from waypath.plans.legs import CHAINED, LEGS, Registry, chained
-from waypath.session import cut, scratch, table, uncut
+from waypath.session import SMALL_GROUPS, cut, scratch, table, uncut
 from waypath.sources import readers
 
 query = Registry()
@@ -37,7 +37,7 @@ def frame(spark, d):
         "distance", "wind", "dep_delay", "prev1_arr_delay", "prev2_arr_delay", F.col("turnaround").cast("double").alias("turnaround"),
     )
     path = scratch(spark, "frame")
-    x.write.partitionBy("year").parquet(path)
+    x.write.options(**SMALL_GROUPS).partitionBy("year").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -92,7 +92,12 @@ def L04_year_splits(spark, d):
 
 def _fit(spark, d, estimator, categories=("carrier",)):
     train, test = split(frame(spark, d))
-    return learning.pipeline(NUMERIC, list(categories), estimator).fit(train), test
+    return learning.fitted(learning.pipeline(NUMERIC, list(categories), estimator), train), test
+
+
+def _prepared(spark, d, categories=("carrier",)):
+    """Both parts with their features, label and delay, worked out and written once for several estimators."""
+    return learning.prepared(learning.pipeline(NUMERIC, list(categories), None), *split(frame(spark, d)), ["label", "arr_delay"])
 
 
 def _report(spark, model, test, name):
@@ -112,7 +117,7 @@ def L05_boosted_by_year(spark, d):
     x = frame(spark, d)
     years = [y for y in readers.partitions(x, "year") if y < 2000]
     train, test = split(x)
-    base = learning.pipeline(NUMERIC, [], VectorAssembler(inputCols=["distance"], outputCol="_one")).fit(train)
+    base = learning.fitted(learning.pipeline(NUMERIC, [], None), train)
     model = boosting.by_year(base.transform(train), "year", years, "label", rounds=12)
     auc = metrics.auc(model.scored(base.transform(test)), "label", "score").first()[0]
     rows = [(y, n, *model.losses[y], auc) for y, n in zip(years, boosting.shares(12, len(years)), strict=True) if y in model.losses]
@@ -146,7 +151,7 @@ c AS (SELECT count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER
  avg(abs(arr_delay - dep_delay)) AS mae, sqrt(avg((arr_delay - dep_delay) ** 2)) AS rmse FROM p)
 SELECT round(auc, 6) AS auc, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(ok / n, 6) AS accuracy, round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM a, c""")
 def L09_metrics(spark, d):
-    p = _scored(spark, d)
+    p = cut(_scored(spark, d), "scored")  # four narrow columns: the windows run once for the three
     r = lambda c: F.round(c, 6).alias(c)
     one = metrics.auc(p, "label", "score").join(metrics.classification(p, "label", "score")).join(metrics.regression(p, "arr_delay", "dep_delay"))
     return one.select(*map(r, ("auc", "f1", "precision", "recall", "accuracy", "mae", "rmse")))
@@ -161,10 +166,9 @@ def L10_roc_points(spark, d):
 @query()
 def L11_recurrent(spark, d):
     """A recurrent network with two heads over sequences of three legs: the class and the delay."""
-    x = featured(spark, d)
-    fill = {c: q[0] for c, q in ranks.quantiles(x, list(features.TWO_HOP), [0.5]).items()}
-    x = cut(x.select(F.year("day").alias("year"), (F.col("arr_delay") > 15).cast("int").alias("label"), "arr_delay", features.sequences(x, "context_full", fill).alias("steps")), "sequences")
-    train, test = split(x)
+    x = cut(featured(spark, d).select(F.year("day").alias("year"), "arr_delay", *features.SHOWN), "featured")  # the windows run once
+    fill = {c: q[0] for c, q in ranks.quantiles(x, list(features.TWO_HOP), [0.5]).items() if q[0] is not None}
+    train, test = split(x.select("year", (F.col("arr_delay") > 15).cast("int").alias("label"), "arr_delay", features.sequences(x, "context_full", fill).alias("steps")))
     got = cut(recurrent.fit(train, "label", "arr_delay").scored(test), "scored")
     e = metrics.regression(got, "arr_delay", "predicted").first()
     auc = metrics.auc(got, "label", "score").first()[0]
@@ -181,7 +185,7 @@ def L11_perceptron(spark, d):
     net = MultilayerPerceptronClassifier(labelCol="label", featuresCol="scaled", layers=[len(NUMERIC), 6, 2], maxIter=5, seed=1)
     delay = LinearRegression(labelCol="arr_delay", featuresCol="scaled", predictionCol="delay", maxIter=10)
     base = learning.pipeline(NUMERIC, [], StandardScaler(inputCol="features", outputCol="scaled"))
-    model = Pipeline(stages=[*base.getStages(), net, delay]).fit(train)
+    model = learning.fitted(Pipeline(stages=[*base.getStages(), net, delay]), train)
     e = metrics.regression(model.transform(test), "arr_delay", "delay").first()
     got = learning.evaluated(model, test, "label")
     return spark.createDataFrame([("perceptron", *map(float, got.values()), e["mae"], e["rmse"])], "model string, " + ", ".join(f"{k} double" for k in (*got, "mae", "rmse")))
@@ -190,11 +194,11 @@ def L11_perceptron(spark, d):
 @query()
 def L12_baselines(spark, d):
     """Logistic regression and forest for the class (AUC), linear regression and forest for the delay (errors)."""
-    train, test = split(frame(spark, d))
+    train, test = _prepared(spark, d)
     forest = {"numTrees": 5, "maxDepth": 4, "seed": 1}
     classes = {"logistic": LogisticRegression(labelCol="label", maxIter=10), "forest": RandomForestClassifier(labelCol="label", **forest)}
     delays = {"linear": LinearRegression(labelCol="arr_delay", maxIter=10), "forest_delay": RandomForestRegressor(labelCol="arr_delay", **forest)}
-    fit = lambda m: learning.pipeline(NUMERIC, ["carrier"], m).fit(train)
+    fit = lambda m: learning.fitted(m, train)
     rows = [(n, learning.evaluated(fit(m), test, "label")["auc"], None, None) for n, m in classes.items()]
     rows += [(n, None, *metrics.regression(fit(m).transform(test), "arr_delay", "prediction").first()) for n, m in delays.items()]
     return spark.createDataFrame(rows, "model string, auc double, mae double, rmse double")
@@ -203,12 +207,12 @@ def L12_baselines(spark, d):
 @query()
 def L13_elastic_net(spark, d):
     """Ridge, elastic net and lasso; a generalised linear model; and a regression on principal components."""
-    train, test = split(frame(spark, d))
-    linear = lambda mix: learning.pipeline(NUMERIC, [], LinearRegression(labelCol="arr_delay", regParam=0.1, elasticNetParam=mix, maxIter=10))
-    scaled = learning.pipeline(NUMERIC, [], StandardScaler(inputCol="features", outputCol="scaled", withMean=True))
-    models = {"ridge": linear(0.0), "elastic": linear(0.5), "lasso": linear(1.0), "glm": learning.pipeline(NUMERIC, [], GeneralizedLinearRegression(labelCol="arr_delay", family="gaussian", link="identity", maxIter=10))}
-    models["components"] = Pipeline(stages=[*scaled.getStages(), PCA(k=5, inputCol="scaled", outputCol="pc"), LinearRegression(labelCol="arr_delay", featuresCol="pc", maxIter=10)])
-    rows = [(n, *metrics.regression(m.fit(train).transform(test), "arr_delay", "prediction").first()) for n, m in models.items()]
+    train, test = _prepared(spark, d, ())
+    linear = lambda mix: LinearRegression(labelCol="arr_delay", regParam=0.1, elasticNetParam=mix, maxIter=10)
+    scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+    models = {"ridge": linear(0.0), "elastic": linear(0.5), "lasso": linear(1.0), "glm": GeneralizedLinearRegression(labelCol="arr_delay", family="gaussian", link="identity", maxIter=10)}
+    models["components"] = Pipeline(stages=[scaled, PCA(k=5, inputCol="scaled", outputCol="pc"), LinearRegression(labelCol="arr_delay", featuresCol="pc", maxIter=10)])
+    rows = [(n, *metrics.regression(learning.fitted(m, train).transform(test), "arr_delay", "prediction").first()) for n, m in models.items()]
     return spark.createDataFrame(rows, "model string, mae double, rmse double")
 
 
@@ -217,13 +221,13 @@ def L14_kmeans(spark, d):
     """Four clusters, and the means of their features."""
     x = frame(spark, d).fillna(0.0)
     base = [VectorAssembler(inputCols=NUMERIC, outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled"), KMeans(k=4, seed=1, featuresCol="scaled", predictionCol="cluster", maxIter=5)]
-    return Pipeline(stages=base).fit(x).transform(x).groupBy("cluster").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in NUMERIC))
+    return learning.fitted(Pipeline(stages=base), x).transform(x).groupBy("cluster").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in NUMERIC))
 
 
 @query()
 def L14_model_family(spark, d):
     """A binomial GLM, a tree, a forest over classes of equal weight, and boosted trees, by AUC."""
-    train, test = split(frame(spark, d))
+    train, test = _prepared(spark, d)
     models = {
         "glm": GeneralizedLinearRegression(labelCol="label", family="binomial", link="logit", maxIter=10, predictionCol="probability_1"),
         "tree": DecisionTreeClassifier(labelCol="label", maxDepth=5, seed=1),
@@ -232,7 +236,7 @@ def L14_model_family(spark, d):
     }
     train, rows = learning.balanced(train, "label", "weight"), []
     for name, m in models.items():
-        fitted = learning.pipeline(NUMERIC, ["carrier"], m).fit(train)
+        fitted = learning.fitted(m, train)
         p = fitted.transform(test).withColumn("score", F.col("probability_1")) if name == "glm" else learning.scored(fitted, test)
         rows.append((name, metrics.auc(p.select("label", "score"), "label", "score").first()[0]))
     return spark.createDataFrame(rows, "model string, auc double")
@@ -242,7 +246,7 @@ def L14_model_family(spark, d):
 def L15_pca(spark, d):
     x = frame(spark, d).fillna(0.0)
     stages = [VectorAssembler(inputCols=NUMERIC, outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), PCA(k=5, inputCol="scaled", outputCol="pc")]
-    got = Pipeline(stages=stages).fit(x).transform(x).withColumn("v", vector_to_array("pc"))
+    got = learning.fitted(Pipeline(stages=stages), x).transform(x).withColumn("v", vector_to_array("pc"))
     return got.select(*KEY, "label", *(F.round(F.col("v")[i], 4).alias(f"pc{i + 1}") for i in range(5)))
 
 
@@ -279,19 +283,20 @@ def L18_synthetic_scorer(spark, d):
 def L19_preprocessing(spark, d):
     """Medians, most frequent category codes and one-hot vectors, learned from the training years."""
     train, test = split(frame(spark, d))
-    got = learning.pipeline(NUMERIC, ["carrier"], StandardScaler(inputCol="features", outputCol="scaled")).fit(train).transform(test)
+    got = learning.fitted(learning.pipeline(NUMERIC, ["carrier"], StandardScaler(inputCol="features", outputCol="scaled")), train).transform(test)
     return got.select(*KEY, F.size(vector_to_array("scaled")).alias("width"), F.round("turnaround_filled", 4).alias("turnaround"))
 
 
 @query()
 def L20_tree_comparison(spark, d):
-    train, test = split(frame(spark, d))
+    train, test = _prepared(spark, d)
     rows = []
     models = {"tree_3": DecisionTreeClassifier(labelCol="label", maxDepth=3, seed=1), "tree_5": DecisionTreeClassifier(labelCol="label", maxDepth=5, seed=1)}
     models |= {"forest": RandomForestClassifier(labelCol="label", numTrees=10, maxDepth=5, seed=1), "boosted": GBTClassifier(labelCol="label", maxIter=5, maxDepth=3, seed=1)}
     for name, m in models.items():
-        p = learning.scored(learning.pipeline(NUMERIC, ["carrier"], m).fit(train), test).select("label", "score")
+        p = cut(learning.scored(learning.fitted(m, train), test).select("label", "score"), "scored")
         rows.append((name, metrics.auc(p, "label", "score").first()[0], metrics.pr_auc(p, "label", "score").first()[0]))
+        uncut(p)
     return spark.createDataFrame(rows, "model string, auc double, pr_auc double")
 
 
@@ -299,9 +304,7 @@ def L20_tree_comparison(spark, d):
 def L21_permutation_importance(spark, d):
     model, test = _fit(spark, d, LogisticRegression(labelCol="label", maxIter=5), categories=())
     whole = learning.evaluated(model, test, "label")["auc"]
-    rows = learning.numbered(test)
-    n = rows.count()
-    rows = [(c, whole - sum(learning.permuted(model, rows, n, "label", c, i) for i in range(5)) / 5) for c in NUMERIC]
+    rows = learning.importances(model, test, "label", NUMERIC, whole, repeats=5)
     return spark.createDataFrame(rows, "feature string, auc_drop double")
 
 

@@ -41,10 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """The rows without their lineage: written to the shared folder and read again."""
+#: For tables that learners read: they hold a task's rows unpacked, many times their size in a file, so row groups and splits
+#: are small. With a split's size fixed in bytes, a task holds as much of a large table as of a small one.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20)}
+SMALL_SPLITS = {"spark.sql.files.maxPartitionBytes": str(16 << 20)}
+
+
+def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """The rows without their lineage: written to the shared folder (with the writer's ``options``) and read again."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
