@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from waypath.llm import fim, golay, negatives
+from waypath.llm import fim, golay, gru, negatives
 
 MIDDLE = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not os.path.isdir(MIDDLE), reason="no test tables")
@@ -269,3 +269,28 @@ def test_bounds_hold_every_score():
 def test_too_many_dimensions_are_told(spark):
     with pytest.raises(ValueError, match="dimensions"):
         negatives.hard_negatives(spark.createDataFrame([(0, [0.1] * (negatives.DIMENSIONS + 1), 1)], EMB))
+
+
+# language model
+
+
+def small_net():
+    at = gru.Layout(np.array([0, 0, 1, 1, 0, 1, 2]), np.array([0, 1, 0, 1, 2, 2, 0]), np.array([0, 3, 6, 7]))
+    return gru.Net(at, gru.initial(at, np.array([5.0, 3, 2, 1, 1, 1, 2])))
+
+
+def test_long_texts_fill_their_windows(monkeypatch):
+    """A text that runs on alone takes windows by tokens, not by steps, and scores as before."""
+    net, seen = small_net(), []
+    ids, starts = np.random.default_rng(5).integers(0, 6, 5100), np.array([0, 5000, 5060, 5100])
+    whole = net.scores(ids, starts)
+    monkeypatch.setattr(net, "_outputs", lambda s, *rest, real=net._outputs: seen.append(len(s)) or real(s, *rest))
+    assert net.scores(ids, starts) == pytest.approx(whole) and sum(seen) == 5100 and len(seen) < 5000 / gru.WINDOW / 10
+    monkeypatch.setattr(gru, "SCORING_LANES", 1)
+    assert net.scores(ids, starts) == pytest.approx(whole, rel=1e-5)
+
+
+def test_a_text_alone_keeps_the_states_it_came_from():
+    net, h = small_net(), np.zeros((1, gru.HIDDEN), np.float32)
+    states, saved = net._forward([np.array([1]), np.array([2])], h)
+    assert (saved[0][0] == 0).all() and np.array_equal(saved[1][0][:, 0], states[0]) and np.array_equal(h[0], states[1]) and h.any()

@@ -25,6 +25,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +132,10 @@ class Vocabulary:
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per distinct word its place among the frequent words (-1: none) and its id; per text and word the id, ends put in."""
         index, short = self.index(), self.short
-        place = np.fromiter((index.get(w, -1) for w in words.distinct), np.int64, len(words.distinct))
+        place = np.fromiter(map(index.get, words.distinct, repeat(-1)), np.int64, len(words.distinct))
         kind = self.kinds()[place] if self.words else place.copy()
-        for i in np.flatnonzero(place < 0):
-            kind[i] = short + self.class_of(words.distinct[i])
+        far = np.flatnonzero(place < 0)
+        kind[far] = [short + self.class_of(words.distinct[i]) for i in far.tolist()]
         ids = np.insert(kind[words.codes] if len(words.codes) else np.zeros(0, np.int64), words.starts[1:], self.layout.end)
         return place, kind, ids
 
