@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypath.llm.graph import components
-from waypath.llm.shared import Words, by_steps, drop, materialize, mixed, runs, seeds
+from waypath.llm.shared import BROADCAST_KEYS, Words, by_steps, drop, materialize, mixed, runs, seeds, sieve
 
 WORDS, PERCENT = 5, 75  # of the shingles, and of the similarity from which documents link
 BANDS, ROWS = 32, 5
@@ -50,9 +50,6 @@ BLOCK = 64
 #: Standard errors of the estimate below 0.75 from which a pair isn't confirmed, and above from which it counts as sure
 #: to be; or as many shingles of the smaller set. A pair lies beyond with probability 0.00002.
 ERRORS, FEW = 4.2, 2.0
-#: Up to so many classes (32 bytes each) are broadcast to pick texts; beyond, the texts are shuffled.
-BROADCAST_IDS = 500_000
-
 SKETCHES = "doc_id long, n_shingles long, digest binary, sketch binary, bits binary, bands array<long>"
 
 
@@ -391,8 +388,12 @@ class NearDuplicates:
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, shingles) of the classes ``ids`` (id)."""
         ids = materialize(self.reps.select("id", "doc", "digest").join(ids, "id", "left_semi"), "ids")
-        picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        texts = self.docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("doc")).select("id", "digest", "text")
+        docs, picked, n = self.docs.select("doc_id", "text"), ids, ids.count()
+        if n <= BROADCAST_KEYS:
+            picked = F.broadcast(ids)
+        else:  # the driver can't hold any number of ids, and not all texts should be shuffled
+            docs, _ = sieve(docs, ["doc_id"], ids.select(F.col("doc").alias("doc_id")), n)
+        texts = docs.join(picked, F.col("doc_id") == F.col("doc")).select("id", "digest", "text")
         # a doc_id may repeat with the same text
         sets = materialize(by_steps(texts, "text", set_step, "id long, shingles binary").dropDuplicates(["id"]), "sets")
         drop(ids)
@@ -418,7 +419,7 @@ class NearDuplicates:
         sets = self.sets(rows.select("id").distinct())
         posts = materialize(sets.mapInArrow(_postings, "shingle long, id long"), "postings")
         often = materialize(posts.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > self.block).select("shingle"), "often")
-        picked = F.broadcast(often) if often.count() <= BROADCAST_IDS else often
+        picked = F.broadcast(often) if often.count() <= BROADCAST_KEYS else often
         # rare: groups of at most BLOCK ids; many shingles have the same one
         groups = posts.join(picked, "shingle", "left_anti").groupBy("shingle").agg(F.sort_array(F.collect_list("id")).alias("ids")).where("size(ids) > 1").select("ids").distinct()
         rare = materialize(groups.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")), "rare")

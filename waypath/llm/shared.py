@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Up to so many keys are broadcast as they are, some 100 bytes each on the driver; of more only bits are: so many for a key,
+#: and 4 MB at most. Beyond, more rows pass that needn't.
+BROADCAST_KEYS, KEY_BITS, MOST_BITS = 50_000, 16, 1 << 25
 #: Text that one step of a Python operator handles at a time, in bytes; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
 BATCH_BYTES = 4 << 20
@@ -99,6 +102,30 @@ def steps(batch: pa.RecordBatch, text: str, most: int = STEP_BYTES) -> Iterator[
         at = to
 
 
+def sieve(rows: DataFrame, names: list[str], keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that may have one of ``n`` keys (all that do, and some 6 % of the others), and those that surely don't.
+
+    ``keys`` has the columns ``names``. Neither it nor the rows go through the driver or a shuffle; a bitmap of hashes does.
+    """
+    bits, page = max(min(KEY_BITS * n, MOST_BITS), 1), 1 << 15  # a page is what bitmap_construct_agg fills
+    at = F.pmod(F.xxhash64(*names), F.lit(bits))
+    pages = keys.select(at.alias("_at")).select(F.expr(f"_at div {page}").alias("_page"), F.expr(f"_at % {page}").alias("_at")).repartition("_page")
+    pages = F.broadcast(materialize(pages.groupBy("_page").agg(F.bitmap_construct_agg("_at").alias("_bits")), "sieve"))
+    bit = F.pmod(at, F.lit(page))
+    octet = F.conv(F.hex(F.substring(pages["_bits"], F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = (F.floor(at / page) == pages["_page"]) & (F.floor(octet / F.pow(F.lit(2), bit % 8)) % 2 == 1)
+    return rows.join(pages, there, "left_semi"), rows.join(pages, there, "left_anti")
+
+
+def without(rows: DataFrame, names: list[str], gone: DataFrame) -> DataFrame:
+    """The rows whose keys (columns ``names``) aren't in ``gone``, a written table; only rows that may be are shuffled."""
+    n = gone.count()
+    if n <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(gone), names, "left_anti")
+    maybe, others = sieve(rows, names, gone, n)
+    return others.unionByName(maybe.join(gone, names, "left_anti").select(*rows.columns))
+
+
 #: What a worker calls at the end of a task to drop what it remembers from batch to batch.
 FORGET: list[Callable[[], None]] = []
 
