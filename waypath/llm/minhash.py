@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypath.llm.graph import components
-from waypath.llm.shared import BROADCAST_KEYS, Words, by_steps, drop, materialize, mixed, runs, seeds, sieve
+from waypath.llm.shared import BROADCAST_KEYS, Words, by_steps, drop, let_go, materialize, mixed, runs, seeds, sieve
 
 WORDS, PERCENT = 5, 75  # of the shingles, and of the similarity from which documents link
 BANDS, ROWS = 32, 5
@@ -47,6 +47,9 @@ BANDS, ROWS = 32, 5
 BINS = 512
 #: Classes of a bucket that are compared as one chunk.
 BLOCK = 64
+#: Where every chunk of a bucket meets every other, each class is sent to all of them; so from SPREAD chunks on, chunks grow
+#: before they become more, up to WIDE times BLOCK.
+SPREAD, WIDE = 64, 8
 #: Standard errors of the estimate below 0.75 from which a pair isn't confirmed, and above from which it counts as sure
 #: to be; or as many shingles of the smaller set. A pair lies beyond with probability 0.00002.
 ERRORS, FEW = 4.2, 2.0
@@ -272,18 +275,42 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)[i : i + (1 << 18)]), *(batch.column(c).take(rows) for c in rest)], names=["shingle", *rest])
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share (of distinct ones)."""
+    k, row = len(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    order = order[held[code[order]] > 1]  # what one set holds is shared with none
+    row, code = row[order], code[order]
+    held = held[held > 1]
+    code = np.repeat(np.arange(len(held)), held)  # shingles are numbered anew, those of one stand together
+    both = np.zeros((k, k), np.int64)
+    if 80 * int((held**2).sum()) > k * k * len(held):  # pairs of holders (8 ns each) or products (0.1 ns)
+        wide = max(1, (1 << 22) // k)  # so many columns at a time
+        ends = np.concatenate(([0], np.cumsum(held)))
+        for first in range(0, len(held), wide):
+            now = slice(ends[first], ends[min(first + wide, len(held))])
+            has = np.zeros((k, min(wide, len(held) - first)), np.float32)
+            has[row[now], code[now] - first] = 1
+            both += (has @ has.T).astype(np.int64)
+        return both
+    starts, total = np.cumsum(held) - held, np.cumsum(held[code])  # a row meets each holder of its shingle
+    at = 0
+    while at < len(row):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), side="right")))
+        n = held[code[at:to]]
+        other = row[np.repeat(starts[code[at:to]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        both += np.bincount(np.repeat(row[at:to], n) * k + other, minlength=k * k).reshape(k, k)
+        at = to
+    return both
+
+
 def overlaps(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(s, t, most) of each two of the sets, both ways: a class with set s, ``most`` shingles or fewer, links to the smallest class of t (``n`` shingles).
 
     Two classes that share i shingles link if 100 i >= PERCENT (n + m - i).
     """
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    row, both = np.repeat(np.arange(len(sets)), list(map(len, sets))), np.zeros((len(sets), len(sets)), np.int64)
-    for first in range(0, int(code.max(initial=-1)) + 1, 1 << 16):  # so many columns at a time
-        now = (code >= first) & (code < first + (1 << 16))
-        has = np.zeros((len(sets), 1 << 16), np.float32)
-        has[row[now], code[now] - first] = 1
-        both += (has @ has.T).astype(np.int64)
+    both = shared_counts(sets)
     most = (100 + PERCENT) * both // PERCENT - n[None, :]
     x, y = np.nonzero((most >= n[:, None]) & ~np.eye(len(sets), dtype=bool))
     return ids[x], ids[y], most[x, y]
@@ -309,20 +336,24 @@ def few_edges(s: np.ndarray, t: np.ndarray, most: np.ndarray) -> tuple[np.ndarra
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """:func:`few_edges` of chunks (bucket, i, j), whose rows come one after the other; a chunk has some 2 * BLOCK rows."""
+    """:func:`few_edges` of chunks (bucket, i, j), whose rows come one after the other; a chunk has from 2 * BLOCK to 2 * WIDE * BLOCK rows."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        found = few_edges(*overlaps(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [np.array(r[2], np.int64) for r in rows]))
+        found = few_edges(*overlaps(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows]))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["s", "t", "most"])
 
     at, held = None, []
     for batch in batches:
-        for r in batch.to_pylist():
-            if (k := (r["bucket"], r["i"], r["j"])) != at:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("often")
+        sets = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+        for *k, id_, n, own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "id", "sn")), sets, strict=True):
+            if k != at:
                 if held:
                     yield out(held)
                 at, held = k, []
-            held.append((r["id"], r["sn"], r["often"]))
+            held.append((id_, n, own))
     if held:
         yield out(held)
 
@@ -339,11 +370,14 @@ class NearDuplicates:
         same = [F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("sketch", "sketch"), ("bits", "bits"), ("bands", "bands"))]
         classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("doc"), *same)
         self.reps = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "reps")
+        let_go(docs.sparkSession)
 
     def chunks(self, rows: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame | None]:
         """(bucket, i, j, end, id) of the buckets with two rows at least, and (bucket, id) of the large ones. ``whole``: every chunk meets every other."""
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.max("id").alias("most")).where("m > 1")
-        chunks = F.when(F.col("m") <= self.block, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("m") / F.lit(self.block)))))
+        power = lambda size: F.pow(F.lit(2.0), F.ceil(F.log2(F.col("m") / F.lit(size))))
+        dealt = F.least(power(self.block), F.greatest(F.lit(float(SPREAD)), power(WIDE * self.block))) if whole else power(self.block)
+        chunks = F.when(F.col("m") <= self.block, 1).otherwise(dealt)
         sizes = materialize(sizes.withColumn("nb", chunks.cast("long")), "sizes")
         end = F.expr("nb > 1 and (id = least or id = most)")
         every = F.expr("nb > 1") if whole else end
@@ -406,6 +440,7 @@ class NearDuplicates:
             pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("shingles").alias(f"shingles_{end}")), end)
         links = materialize(pairs.mapInPandas(_linked, "a long, b long").distinct(), "links")
         drop(sets)
+        let_go(self.docs.sparkSession)
         return links
 
     def mixed(self, giants: DataFrame, comps: DataFrame) -> DataFrame:
@@ -473,6 +508,7 @@ class NearDuplicates:
             self.spent.append(left)
         while self.spent:
             drop(self.spent.pop())
+        let_go(self.docs.sparkSession)
         return comps
 
     def result(self) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waypath.llm import exact, language, minhash, packing, quality
-from waypath.llm.shared import drop, materialize, with_row
+from waypath.llm.shared import drop, materialize, with_row, without
 
 #: Below this share of the largest rank distance a text looks like none of the languages.
 LEAST_LANGUAGE = 0.1
@@ -47,10 +47,12 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One document of each group of equal texts; of rows that repeat its doc_id and text the first in the table."""
     docs, key = with_row(docs)
     index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    kept = exact.deduplicate(docs, index, *key).where("kept")
-    first = materialize(kept.groupBy("text_sha256").agg(F.min(F.struct(*key)).alias("first")).select("first.*"), "kept")
+    judged = materialize(exact.deduplicate(docs, index, *key).select("text_sha256", "kept", *key), "judged")
     index.drop()
-    return docs.join(first, key, "left_semi").drop(*key)
+    first = judged.where("kept").groupBy("text_sha256").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    rejected = materialize(judged.select(*key).join(first, key, "left_anti"), "rejected")
+    drop(judged)
+    return without(docs, key, rejected).drop(*key)
 
 
 def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = linked.where("kept").groupBy("part").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
     rejected = materialize(linked.select(*key).join(first, key, "left_anti"), "rejected")
     drop(linked)
-    return docs.join(rejected, key, "left_anti").drop(*key)
+    return without(docs, key, rejected).drop(*key)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

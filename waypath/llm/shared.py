@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +69,13 @@ def drop(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage. Until then ended queries keep their broadcasts, and their shuffles on the
+    executors' disks, and the driver's heap grows; a long operator calls this between its phases."""
+    gc.collect()  # frames that Python holds
+    spark._jvm.System.gc()
+
+
 def with_row(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with two columns that together name each row, also rows that are equal, and these columns' names.
 
